@@ -1,4 +1,4 @@
-"""Registered queries: (spark, sf_dir) -> DataFrame, each with a DuckDB twin.
+"""Registry of queries: (spark, sf_dir) -> DataFrame, each with an optional DuckDB twin.
 
 Every query reads the driver's tables (through ``sources.fixtures``) and runs
 over whole tables. Nested outputs (maps, arrays of structs) are flattened to
@@ -10,15 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-from ..operators.abundance import feature_dimension
-from ..params import FingerprintParams
-from ..sources import fixtures
-from . import sql_twins as S
-from .context import customer_points, prepare
-from .fingerprint import fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,100 +17,10 @@ SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
             SQL[name] = sql
         return fn
     return deco
-
-
-# ---------------------------------------------------------------------------
-# Taxonomy dimension
-# ---------------------------------------------------------------------------
-
-_TAX_COLS = ["feature_idx", "lineage", "kingdom", "phylum", "class", "order", "family",
-             "genus", "species", "strain", "display_name"]
-
-
-@register("taxonomy_dimension", S.with_(
-    f"ab AS ({S.ABUNDANCE_SQL})", S.features_cte("ab")) +
-    "SELECT " + ", ".join(f'"{c}"' for c in _TAX_COLS) + " FROM feat")
-def q_taxonomy_dimension(spark, sf_dir):
-    ab = fixtures.abundance_long(spark, sf_dir)
-    return feature_dimension(ab).select(*_TAX_COLS)
-
-
-# ---------------------------------------------------------------------------
-# Per-sample aggregates (D11, D12, E1) on retained features
-# ---------------------------------------------------------------------------
-
-@register("shannon_diversity", S.with_(S.PREP, S.SHANNON) + f"""
-SELECT s.sample_key, {S.r6('coalesce(h, 0.0)')} AS diversity_score,
-       {S.div_class('coalesce(h, 0.0)')} AS diversity_class,
-       CAST(coalesce(n_present, 0) AS BIGINT) AS n_present
-FROM smp s LEFT JOIN sh0 USING (sample_key)""")
-def q_shannon(spark, sf_dir):
-    from ..operators.diversity import shannon
-    prep = prepare(spark, sf_dir)
-    return shannon(prep.indexed, prep.samples)
-
-
-@register("phylum_profile", S.with_(S.PREP, """
-ph AS (SELECT DISTINCT phylum FROM feat WHERE phylum IS NOT NULL),
-sp AS (SELECT i.sample_key, f.phylum, sum(i.value) AS amount
-       FROM idx i JOIN feat f USING (feature_idx) WHERE f.phylum IS NOT NULL GROUP BY 1, 2),
-st AS (SELECT sample_key, sum(amount) AS total FROM sp GROUP BY 1)""") + f"""
-SELECT st.sample_key, ph.phylum, {S.r6('coalesce(sp.amount, 0.0) / st.total')} AS share
-FROM st CROSS JOIN ph
-LEFT JOIN sp ON sp.sample_key = st.sample_key AND sp.phylum = ph.phylum
-WHERE st.total > 0""")
-def q_phylum_profile(spark, sf_dir):
-    from ..operators.diversity import phylum_profile
-    prep = prepare(spark, sf_dir)
-    prof = phylum_profile(prep.indexed, prep.features)
-    return prof.select("sample_key", F.explode("phylum_profile").alias("phylum", "share"))
-
-
-@register("dominant_features", S.with_(S.PREP, """
-rk AS (SELECT sample_key, feature_idx, value,
-              row_number() OVER (PARTITION BY sample_key ORDER BY value DESC, feature_idx DESC) AS rank
-       FROM idx WHERE value >= 0.001)""") + f"""
-SELECT rk.sample_key, CAST(rk.rank AS INTEGER) AS rank, f.display_name AS name,
-       {S.r6('rk.value')} AS abundance, coalesce(f.phylum, 'Unknown') AS phylum,
-       coalesce(f.genus, 'Unknown') AS genus, coalesce(f.species, 'Unknown') AS species,
-       f.lineage AS full_lineage
-FROM rk JOIN feat f USING (feature_idx) WHERE rk.rank <= 10""")
-def q_dominant(spark, sf_dir):
-    from ..operators.diversity import dominant_features
-    prep = prepare(spark, sf_dir)
-    dom = dominant_features(prep.indexed, prep.features)
-    return dom.select("sample_key", F.posexplode("dominant_microbes").alias("pos", "m")).select(
-        "sample_key", (F.col("pos") + 1).cast("int").alias("rank"), "m.name", "m.abundance",
-        "m.phylum", "m.genus", "m.species", "m.full_lineage")
-
-
-# ---------------------------------------------------------------------------
-# Flagship: fingerprints (I4) on z-vectors with segment labels
-# ---------------------------------------------------------------------------
-
-def fingerprint_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prep = prepare(spark, sf_dir)
-    pts = customer_points(spark, sf_dir, prep)
-    return fingerprints(prep.indexed, prep.features, pts, params=FingerprintParams())
-
-
-@register("fingerprints", S.with_(S.PREP, S.LABELS, S.SHANNON, S.NOVELTY, """
-nd AS (SELECT sample_key, least(count(*), 10) AS n_dominant FROM idx WHERE value >= 0.001 GROUP BY 1)""") + f"""
-SELECT l.sample_key, l.cluster_id,
-       {S.r6('coalesce(sh0.h, 0.0)')} AS diversity_score,
-       {S.div_class('coalesce(sh0.h, 0.0)')} AS diversity_class,
-       {S.r6('nov.ns')} AS novelty_score, {S.nov_class('nov.ns')} AS novelty_class,
-       CAST(coalesce(nd.n_dominant, 0) AS INTEGER) AS n_dominant
-FROM lab l LEFT JOIN sh0 USING (sample_key) LEFT JOIN nov USING (sample_key)
-LEFT JOIN nd USING (sample_key)""")
-def q_fingerprints(spark, sf_dir):
-    fp = fingerprint_frame(spark, sf_dir)
-    return fp.select("sample_key", "cluster_id", "diversity_score", "diversity_class",
-                     "novelty_score", "novelty_class", F.col("n_dominant").cast("int"))
-
-

@@ -101,18 +101,19 @@ def log_ratio(indexed: DataFrame, params: PreprocessParams) -> DataFrame:
 
 def standardise(abundance: DataFrame, samples: DataFrame,
                 params: PreprocessParams = PreprocessParams(),
-                features: DataFrame | None = None) -> Standardised:
+                features: DataFrame | None = None, persist=None) -> Standardised:
     """Prevalence filter → CLR (optional) → z-score, all in sparse form.
 
     ``samples`` lists every sample (those without any abundance count with
-    all-zero rows, as in a wide table).
+    all-zero rows, as in a wide table). ``persist(df, name)``, when given,
+    materialises the feature dimension and the vectors (see ``session.materialize``).
     """
     samples = samples.select("sample_key").distinct()
     n = samples.count()
     if features is None:
         kept = prevalence_filter(abundance, n, params.min_prevalence)
         features = feature_dimension(kept)
-    features = features.cache()
+    features = persist(features, "features") if persist else features.cache()
     d = features.count()
     if d == 0:
         raise ValueError("no feature passes the prevalence filter")
@@ -143,10 +144,12 @@ def standardise(abundance: DataFrame, samples: DataFrame,
     rows = sorted(moments.collect(), key=lambda r: r["feature_idx"])
     mean_arr = [float(r["mean"]) for r in rows]
     std_arr = [float(r["std"]) for r in rows]
-    # a column whose variance is round-off only is constant: z = 0
+    # a column whose variance is round-off only is constant (scale 1)
     std_arr = [0.0 if s <= 1e-6 * max(1.0, abs(m)) else s for m, s in zip(mean_arr, std_arr)]
 
     vectors = assemble_vectors(s_long, sample_stats, mean_arr, std_arr)
+    if persist:
+        vectors = persist(vectors, "vectors")
     return Standardised(features, moments, vectors, sample_stats.select("sample_key", "c"),
                         n, d, mean_arr, std_arr)
 
@@ -163,7 +166,8 @@ def assemble_vectors(s_long: DataFrame, sample_stats: DataFrame,
     def z(j):
         sd = F.element_at(std_lit, j + 1)
         x = F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0)) + F.col("c")
-        return F.when(sd == 0, F.lit(0.0)).otherwise((x - F.element_at(mean_lit, j + 1)) / sd)
+        # a constant column keeps scale 1 (x − mean), as a standard scaler does
+        return (x - F.element_at(mean_lit, j + 1)) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
     return (sample_stats.join(sparse, "sample_key", "left")
                         .select("sample_key",

@@ -78,3 +78,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
     """
     n = known_rows if known_rows is not None else df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the files instead of replaying
+    the joins that built them) and computes the input only once, unlike an
+    eager ``checkpoint()`` of an unpersisted plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -64,8 +64,10 @@ def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str = "vec",
-                   block_rows: int = 2000) -> DataFrame:
-    """(sample_key, neighbor_key, cosine): the k most cosine-similar other rows, exact.
+                   block_rows: int = 2000, metric: str = "cosine") -> DataFrame:
+    """(sample_key, neighbor_key, cosine | distance, rank): the k nearest other rows, exact.
+
+    ``metric="cosine"``: highest cosine similarity; ``"euclidean"``: lowest distance.
 
     Each block pair keeps, for every left row, its k best partners of the
     right block (self excluded); a final row_number over those ≤ k·B
@@ -78,8 +80,10 @@ def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str
     def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({"sample_key": [], "neighbor_key": [], "cosine": []})
-        a, b = _unit_rows(_mat(lp, vec)), _unit_rows(_mat(rp, vec))
-        s = a @ b.T
+        if metric == "cosine":
+            s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
+        else:  # negated distance, so "larger is nearer" in both cases
+            s = -_euclid(_mat(lp, vec), _mat(rp, vec))
         lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
         s[lk[:, None] == rk[None, :]] = -np.inf
         kk = min(k, s.shape[1])
@@ -90,16 +94,19 @@ def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str
         vals = s[rows, cols]
         keep = np.isfinite(vals)
         return pd.DataFrame({"sample_key": lk[rows[keep]], "neighbor_key": rk[cols[keep]],
-                             "cosine": vals[keep]})
+                             "score": vals[keep]})
 
     schema = T.StructType([T.StructField("sample_key", T.LongType()),
                            T.StructField("neighbor_key", T.LongType()),
-                           T.StructField("cosine", T.DoubleType())])
+                           T.StructField("score", T.DoubleType())])
     cands = (left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b"))
                  .applyInPandas(top, schema))
     from pyspark.sql.window import Window
-    w = Window.partitionBy("sample_key").orderBy(F.desc("cosine"), F.asc("neighbor_key"))
-    return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    w = Window.partitionBy("sample_key").orderBy(F.desc("score"), F.asc("neighbor_key"))
+    out = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if metric == "cosine":
+        return out.withColumnRenamed("score", "cosine")
+    return out.withColumn("distance", -F.col("score")).drop("score")
 
 
 def threshold_edges(points: DataFrame, threshold: float, key: str = "sample_key",

@@ -5,4 +5,5 @@ from . import q_profile  # noqa: F401
 from . import q_clusters  # noqa: F401
 from . import q_serving  # noqa: F401
 from . import q_scoring  # noqa: F401
+from . import q_models  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

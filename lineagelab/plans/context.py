@@ -35,6 +35,8 @@ _MEMO: dict = {}
 def clear_cache() -> None:
     """Forget prepared inputs (the bench clears it before each timed query)."""
     _MEMO.clear()
+    from . import q_models
+    q_models.clear_cache()
 
 
 def prepare(spark: SparkSession, sf_dir: str,

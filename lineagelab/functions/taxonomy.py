@@ -80,13 +80,20 @@ def phylum_any(lineage: Column) -> Column:
 
 
 def taxonomy_columns(lineage_col: str = "lineage") -> list[Column]:
-    """All dimension columns derived from one lineage column."""
+    """All dimension columns derived from one lineage column.
+
+    The parsed parts are bound once per row (a one-element ``transform``), so
+    the fifteen level lookups share one parse instead of repeating it.
+    """
     lin = F.col(lineage_col)
-    parts = lineage_parts(lin)
-    cols = [level_value(parts, name).alias(name) for _, name in LEVEL_CODES]
-    cols += [
-        display_name(parts, lin).alias("display_name"),
-        leaf_name(lin).alias("leaf_name"),
-        phylum_any(lin).alias("phylum_any"),
-    ]
-    return cols
+
+    def build(parts: Column) -> Column:
+        fields = [level_value(parts, name).alias(name) for _, name in LEVEL_CODES]
+        fields.append(F.coalesce(*[level_value(parts, lv) for lv in DISPLAY_ORDER], lin)
+                      .alias("display_name"))
+        return F.struct(*fields)
+
+    tax = F.element_at(F.transform(F.array(lineage_parts(lin)), build), 1)
+    names = [name for _, name in LEVEL_CODES] + ["display_name"]
+    return ([tax[n].alias(n) for n in names] +
+            [leaf_name(lin).alias("leaf_name"), phylum_any(lin).alias("phylum_any")])

@@ -54,7 +54,8 @@ def feature_dimension(lineages: DataFrame, lineage_col: str = "lineage") -> Data
     """
     distinct = lineages.select(F.col(lineage_col).alias("lineage")).distinct()
     indexed = dense_index(distinct, "lineage", "feature_idx")
-    return indexed.select("feature_idx", "lineage", *taxonomy_columns("lineage"))
+    tax = indexed.select("feature_idx", "lineage", F.struct(*taxonomy_columns("lineage")).alias("_t"))
+    return tax.select("feature_idx", "lineage", "_t.*")
 
 
 def index_abundance(abundance: DataFrame, features: DataFrame,
@@ -101,7 +102,8 @@ def log_ratio(indexed: DataFrame, params: PreprocessParams) -> DataFrame:
 
 def standardise(abundance: DataFrame, samples: DataFrame,
                 params: PreprocessParams = PreprocessParams(),
-                features: DataFrame | None = None, persist=None) -> Standardised:
+                features: DataFrame | None = None, persist=None,
+                n_samples: int | None = None, n_features: int | None = None) -> Standardised:
     """Prevalence filter → CLR (optional) → z-score, all in sparse form.
 
     ``samples`` lists every sample (those without any abundance count with
@@ -109,12 +111,13 @@ def standardise(abundance: DataFrame, samples: DataFrame,
     materialises the feature dimension and the vectors (see ``session.materialize``).
     """
     samples = samples.select("sample_key").distinct()
-    n = samples.count()
+    n = n_samples if n_samples is not None else samples.count()
     if features is None:
         kept = prevalence_filter(abundance, n, params.min_prevalence)
         features = feature_dimension(kept)
-    features = persist(features, "features") if persist else features.cache()
-    d = features.count()
+        features = persist(features, "features") if persist else features.cache()
+        n_features = None
+    d = n_features if n_features is not None else features.count()
     if d == 0:
         raise ValueError("no feature passes the prevalence filter")
 

@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.abundance import Standardised, index_abundance, standardise
+from ..operators.abundance import (Standardised, feature_dimension, index_abundance,
+                                   prevalence_filter, standardise)
 from ..params import PreprocessParams
 from ..session import materialize
 from ..sources import fixtures
 
 
-@dataclass
 class Prepared:
-    abundance: DataFrame   # (sample_key, lineage, value)
-    samples: DataFrame     # (sample_key)
-    std: Standardised
-    indexed: DataFrame     # (sample_key, feature_idx, value) over retained features
+    """Inputs shared by the fixture queries.
+
+    The abundance fact and the feature dimension are built eagerly; the
+    z-scored vectors (``std``) only when a query asks for them.
+    """
+
+    def __init__(self, abundance: DataFrame, samples: DataFrame, n_samples: int,
+                 features: DataFrame, n_features: int, params: PreprocessParams):
+        self.abundance = abundance      # (sample_key, lineage, value)
+        self.samples = samples          # (sample_key)
+        self.n_samples = n_samples
+        self.features = features        # retained features, feature_idx 0..D-1
+        self.n_features = n_features
+        self.params = params
+        # (sample_key, feature_idx, value) over retained features
+        self.indexed = index_abundance(abundance, features, n_features)
+        self._std: Standardised | None = None
 
     @property
-    def features(self) -> DataFrame:
-        return self.std.features
+    def std(self) -> Standardised:
+        if self._std is None:
+            self._std = standardise(self.abundance, self.samples, self.params, features=self.features,
+                                    persist=materialize, n_samples=self.n_samples,
+                                    n_features=self.n_features)
+        return self._std
 
     def points(self, labels: DataFrame) -> DataFrame:
         """(sample_key, vec, cluster_id): the z-vectors with the given labels."""
@@ -41,7 +56,7 @@ def clear_cache() -> None:
 
 def prepare(spark: SparkSession, sf_dir: str,
             params: PreprocessParams = PreprocessParams(), reuse: bool = True) -> Prepared:
-    """Abundance fact → retained features → z-vectors, written once per session.
+    """Abundance fact → retained features (→ z-vectors on demand), written once per session.
 
     The fact (a three-way join and aggregation over lineitem, orders and part),
     the feature dimension and the vectors are materialised as Parquet under
@@ -53,9 +68,13 @@ def prepare(spark: SparkSession, sf_dir: str,
         return _MEMO[key]
     ab = materialize(fixtures.abundance_long(spark, sf_dir), "abundance")
     smp = fixtures.samples(spark, sf_dir)
-    std = standardise(ab, smp, params, persist=materialize)
-    indexed = index_abundance(ab, std.features, std.n_features)
-    prep = Prepared(ab, smp, std, indexed)
+    n = smp.count()
+    kept = prevalence_filter(ab, n, params.min_prevalence)
+    features = materialize(feature_dimension(kept), "features")
+    d = features.count()
+    if d == 0:
+        raise ValueError("no feature passes the prevalence filter")
+    prep = Prepared(ab, smp, n, features, d, params)
     if reuse:
         _MEMO[key] = prep
     return prep

@@ -28,7 +28,7 @@ def _pca(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
         prep = prepare(spark, sf_dir)
-        _MEMO[key] = M.fit_pca(prep.std.vectors, n_rows=prep.std.n_samples, n_dims=prep.std.n_features)
+        _MEMO[key] = M.fit_pca(prep.std.vectors, n_rows=prep.n_samples, n_dims=prep.n_features)
     return _MEMO[key]
 
 

@@ -85,7 +85,7 @@ SELECT CAST((SELECT n FROM nsmp) AS BIGINT) AS samples,
 FROM raw""")
 def q_dataset_overview(spark, sf_dir):
     prep, raw = _profile_inputs(spark, sf_dir)
-    return P.dataset_overview(prep.indexed, prep.std.n_samples, prep.std.n_features, raw, META_COLS)
+    return P.dataset_overview(prep.indexed, prep.n_samples, prep.n_features, raw, META_COLS)
 
 
 def _vc_sql(col: str, top: int) -> str:
@@ -163,7 +163,7 @@ SELECT fs.feature_idx, lf.label, {S.r6('fs.mean')} AS mean_abundance
 FROM fs JOIN lf USING (feature_idx) ORDER BY fs.mean DESC, fs.feature_idx ASC LIMIT 20""")
 def q_top_mean(spark, sf_dir):
     prep = prepare(spark, sf_dir)
-    return P.top_features_by_mean(prep.indexed, prep.features, prep.std.n_samples, 20)
+    return P.top_features_by_mean(prep.indexed, prep.features, prep.n_samples, 20)
 
 
 @register("top_features_by_cv", S.with_(S.PREP, _FEAT_STATS) + f"""
@@ -172,4 +172,4 @@ FROM fs JOIN lf USING (feature_idx) WHERE fs.mean <> 0
 ORDER BY fs.std / fs.mean DESC, fs.feature_idx ASC LIMIT 20""")
 def q_top_cv(spark, sf_dir):
     prep = prepare(spark, sf_dir)
-    return P.top_features_by_cv(prep.indexed, prep.features, prep.std.n_samples, 20)
+    return P.top_features_by_cv(prep.indexed, prep.features, prep.n_samples, 20)

@@ -79,3 +79,18 @@ def test_rank_average_ties(spark):
     assert (r["a"]["rank_sil"], r["b"]["rank_sil"], r["c"]["rank_sil"], r["d"]["rank_sil"]) == (1.5, 1.5, 3.0, 4.0)
     assert r["c"]["rank_db"] == 1.0 and r["d"]["rank_db"] == 4.0
     assert [m for m, x in r.items() if x["selected"]] == ["a"]
+
+
+def test_kmeans_restarts_recover_planted(spark):
+    from lineagelab.operators.models import fit_kmeans
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(c, 0.3, size=(40, 3)) for c in ([0, 0, 0], [5, 0, 0], [0, 5, 0], [0, 0, 5])])
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "sample_key long, pca array<double>")
+    labels, info = fit_kmeans(df, "pca", k=4, n_init=5, engine="shared")
+    lab = {r["sample_key"]: r["cluster_id"] for r in labels.collect()}
+    for g in range(4):
+        assert len({lab[i] for i in range(40 * g, 40 * (g + 1))}) == 1
+    assert len(set(lab.values())) == 4
+    cent = np.array(info["centers"])
+    inertia = sum(((X[i] - cent[lab[i]]) ** 2).sum() for i in range(len(X)))
+    assert abs(inertia - info["cost"]) < 1e-6 * max(1.0, inertia)

@@ -58,3 +58,24 @@ def test_list_samples_paging(spark):
     assert len(d) == 1 and d[0]["id"] == 1 and d[0]["fingerprint"]["cluster_id"] == 0
     checks = {r["check"]: r["violations"] for r in SV.check_serving_tables(t).collect()}
     assert checks["samples.id unique"] == 0 and checks["fingerprints.sample_pk -> samples"] == 0
+
+
+def test_wide_to_long_and_json_repair(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from lineagelab.sources import wide as W
+    p = tmp_path / "wide.csv"
+    p.write_text("sampleID,disease,country,gender,k__A|p__B,k__A|p__C\n"
+                 "s1,CRC,NL,male,1.5,0\ns2,,DE,female,NaN,-2\ns3,IBD,US,nd,,4\n")
+    wide = W.read_abundance_wide(spark, str(p))
+    assert dict(wide.dtypes)["k__A|p__B"] == "double" and dict(wide.dtypes)["disease"] == "string"
+    obs = Observation("neg")
+    got = sorted(tuple(r) for r in W.to_long(wide, observation=obs).collect())
+    assert got == [("s1", "k__A|p__B", 1.5), ("s3", "k__A|p__C", 4.0)] and obs.get["negative"] == 1
+    with pytest.raises(FileNotFoundError):
+        W.read_abundance_wide(spark, str(tmp_path / "missing.csv"))
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    df = spark.createDataFrame([('{"a": 1}',), ('"{\\"a\\": 2}"',), ("junk",)], "doc string")
+    vals = [r["a"] for r in df.select(W.repair_json(F.col("doc"), schema).alias("d")).select("d.a").collect()]
+    assert vals == [1, 2, None]

@@ -1,0 +1,123 @@
+"""The whole batch run (I1–I3, I9): preprocess → profile → reduce → cluster → evaluate →
+fingerprint → summarise → atlas → similarity → importance → serving tables.
+
+Each step is a set of DataFrame jobs; reusable results are written under
+``output_dir`` (Parquet) and read back, which cuts lineage and gives restart
+points. The returned table has one row per step with its wall time.
+"""
+
+from __future__ import annotations
+
+import os
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import models as M
+from ..operators.abundance import index_abundance, standardise
+from ..operators.density import density_cluster
+from ..operators.evaluate import evaluate_methods
+from ..operators.metadata import clean_metadata
+from ..operators.pairs import knn_candidates, threshold_edges
+from ..operators import profile as P
+from ..params import DEFAULTS, Params
+from ..session import materialize
+from . import serving as SV
+from . import summary as SM
+from .fingerprint import fingerprints
+
+
+def run_all(spark: SparkSession, abundance: DataFrame, samples: DataFrame, raw_meta: DataFrame,
+            output_dir: str, params: Params = DEFAULTS, threshold: float | None = None,
+            density_eps: float | None = None) -> tuple[DataFrame, dict]:
+    """Run every step; returns (steps table, dict of result DataFrames)."""
+    steps: list[tuple[str, float]] = []
+    out: dict = {}
+
+    def step(name, fn):
+        t0 = time.perf_counter()
+        res = fn()
+        steps.append((name, round(time.perf_counter() - t0, 3)))
+        return res
+
+    def save(name, df):
+        p = os.path.join(output_dir, name)
+        df.write.mode("overwrite").parquet(p)
+        return spark.read.parquet(p)
+
+    # 1 preprocess
+    meta = step("clean_metadata", lambda: save("metadata", clean_metadata(raw_meta)))
+    std = step("preprocess", lambda: standardise(abundance, samples, params.preprocess, persist=materialize))
+    indexed = index_abundance(abundance, std.features, std.n_features)
+    out.update(metadata=meta, features=std.features, vectors=std.vectors)
+
+    # 2 profile
+    meta_cols = [c for c in raw_meta.columns if c != "sample_key"]
+    out["overview"] = step("profile", lambda: save("overview", P.dataset_overview(
+        indexed, std.n_samples, std.n_features, raw_meta, meta_cols)))
+
+    # 3 reduce (I3): PCA, 2-D map
+    pca = step("reduce", lambda: M.fit_pca(std.vectors, params.reduce.n_components,
+                                           n_rows=std.n_samples, n_dims=std.n_features))
+    reduced = save("reduced", pca.reduced)
+    atlas = save("atlas_xy", M.atlas_from_pca(reduced))
+    out.update(reduced=reduced, explained=M.variance_table(spark, pca.explained))
+
+    # 4 cluster
+    assignments = step("cluster", lambda: save("assignments", M.cluster_all(
+        reduced, atlas, params.cluster, density_eps)))
+    out["assignments"] = assignments
+
+    # 5 evaluate (H12) each method in its own space
+    pts_pca = reduced.withColumnRenamed("pca", "vec")
+    pts_map = atlas.select("sample_key", F.array("atlas_x", "atlas_y").alias("vec"))
+    labelled = {}
+    for method, space in (("pca_kmeans", pts_pca), ("pca_gmm", pts_pca), ("umap_hdbscan", pts_map)):
+        lab = assignments.where(F.col("method") == method).select("sample_key", "cluster_id")
+        labelled[method] = space.join(lab, "sample_key")
+    evaluation = step("evaluate", lambda: save("evaluation", evaluate_methods(labelled)))
+    best = evaluation.where("selected").first()["method"]
+    out["evaluation"] = evaluation
+    space = pts_map if best == "umap_hdbscan" else pts_pca
+    chosen = assignments.where(F.col("method") == best).select("sample_key", "cluster_id")
+    points = space.join(chosen, "sample_key")
+
+    # 6 fingerprint (I4)
+    fp = step("fingerprint", lambda: save("fingerprints", fingerprints(
+        indexed, std.features, points, atlas, params.fingerprint)))
+    out["fingerprints"] = fp
+
+    # 7 importance (H16–H18) + summaries
+    def importance():
+        model = M.fit_importance_model(std.vectors, chosen, params=params.importance)
+        glob = M.global_importance(model, std.features, params.importance.top_global)
+        per = M.cluster_importance(glob, chosen.where("cluster_id >= 0"), params.importance.top_per_cluster)
+        return glob, per
+    glob, per = step("importance", importance)
+    importances = save("feature_importances", M.importance_table(glob, per))
+    clusters = step("summarise", lambda: save("cluster_summaries", SM.cluster_summaries(fp, meta, per)))
+    out.update(importances=importances, clusters=clusters)
+
+    # 8 atlas table (I8)
+    atlas_table = (atlas.join(chosen, "sample_key")
+                        .join(reduced.select("sample_key", F.element_at("pca", 1).alias("pca_x"),
+                                             F.element_at("pca", 2).alias("pca_y")), "sample_key")
+                        .join(meta.select("sample_key", "disease", "country", "gender", "age"), "sample_key", "left"))
+    out["atlas"] = step("atlas", lambda: save("atlas", atlas_table))
+
+    # 9 similarity (I6, I7): neighbours and the thresholded network on the z-vectors
+    vec = std.vectors.withColumnRenamed("features", "vec")
+    thr = params.similarity.threshold if threshold is None else threshold
+    knn = step("neighbours", lambda: save("neighbours", knn_candidates(
+        vec, params.similarity.table_neighbors, block_rows=params.similarity.block_rows)))
+    edges = step("network", lambda: save("edges", threshold_edges(vec, thr, block_rows=params.similarity.block_rows)))
+    out.update(neighbours=knn, edges=edges)
+
+    # 10 serving tables (A12) + checks (K1–K4)
+    tables = SV.build_serving_tables(meta, fp, out["atlas"], clusters, importances, edges, thr)
+    step("serving_tables", lambda: SV.write_serving_tables(tables, os.path.join(output_dir, "serving")))
+    out["checks"] = SV.check_serving_tables(tables)
+    out["selected_method"] = best
+
+    return spark.createDataFrame(steps, "step string, seconds double"), out

@@ -94,3 +94,11 @@ def test_kmeans_restarts_recover_planted(spark):
     cent = np.array(info["centers"])
     inertia = sum(((X[i] - cent[lab[i]]) ** 2).sum() for i in range(len(X)))
     assert abs(inertia - info["cost"]) < 1e-6 * max(1.0, inertia)
+
+
+def test_silhouette_singleton_cluster(spark):
+    rows = [(1, [0.0, 0.0], 0), (2, [0.1, 0.0], 0), (3, [5.0, 5.0], 1)]
+    df = spark.createDataFrame(rows, "sample_key long, vec array<double>, cluster_id int")
+    X = np.array([r[1] for r in rows])
+    lab = np.array([r[2] for r in rows])
+    assert abs(EV.silhouette(df) - np_silhouette(X, lab).mean()) < 1e-12

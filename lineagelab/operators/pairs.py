@@ -178,3 +178,38 @@ def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str =
                  .applyInPandas(sums, schema))
     return (parts.groupBy("sample_key", "cluster_id", "other_cluster")
                  .agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n_other").alias("n_other")))
+
+
+def knn_between(queries: DataFrame, refs: DataFrame, k: int, key: str = "sample_key",
+                vec: str = "vec", block_rows: int = 2000) -> DataFrame:
+    """(sample_key, neighbor_key, cosine, rank): the k most cosine-similar reference rows
+    of every query row, exact; query blocks × reference blocks, one co-group each."""
+    nq = n_blocks(queries.count(), block_rows)
+    nr = n_blocks(refs.count(), block_rows)
+
+    def blk(n):
+        return ((F.xxhash64(F.col(key)) % n + n) % n).cast("int")
+
+    left = queries.select(blk(nq).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("_b"),
+                          F.col(key).alias(key), F.col(vec).alias(vec))
+    right = refs.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_a"), blk(nr).alias("_b"),
+                        F.col(key).alias(key), F.col(vec).alias(vec))
+
+    def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if len(lp) == 0 or len(rp) == 0:
+            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "cosine": []})
+        s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
+        lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
+        kk = min(k, s.shape[1])
+        order = np.lexsort((np.broadcast_to(rk, s.shape), -s), axis=1)[:, :kk]
+        rows = np.repeat(np.arange(s.shape[0]), kk)
+        cols = order.ravel()
+        return pd.DataFrame({"sample_key": lk[rows], "neighbor_key": rk[cols], "cosine": s[rows, cols]})
+
+    schema = T.StructType([T.StructField("sample_key", T.LongType()),
+                           T.StructField("neighbor_key", T.LongType()),
+                           T.StructField("cosine", T.DoubleType())])
+    cands = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(top, schema)
+    from pyspark.sql.window import Window
+    w = Window.partitionBy("sample_key").orderBy(F.desc("cosine"), F.asc("neighbor_key"))
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

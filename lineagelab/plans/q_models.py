@@ -132,3 +132,11 @@ def q_density(spark, sf_dir):
     return density_cluster(pts, "xy", DENSITY_MIN_SAMPLES, DENSITY_MIN_SIZE, eps=DENSITY_EPS).select(
         "sample_key", F.col("cluster_id").cast("int"), "is_core")
 
+
+
+@register("fuzzy_graph")
+def q_fuzzy_graph(spark, sf_dir):
+    """Fuzzy 30-nearest-neighbour graph of the embeddings (cosine), symmetrised (H4)."""
+    from ..operators.atlas import fuzzy_neighbor_graph
+    g = fuzzy_neighbor_graph(fixtures.points(spark, sf_dir), k=30)
+    return g.select("source", "target", rnd("weight").alias("weight"))

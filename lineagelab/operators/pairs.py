@@ -143,13 +143,20 @@ def threshold_edges(points: DataFrame, threshold: float, key: str = "sample_key"
 
 
 def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str = "vec",
-                          block_rows: int = 2000) -> DataFrame:
+                          block_rows: int = 2000, rows: F.Column | None = None) -> DataFrame:
     """(sample_key, cluster_id, other_cluster, dist_sum, n_other): Σ Euclidean distance
-    from each row to the rows of every cluster (noise excluded), exact."""
+    from each row to the rows of every cluster (noise excluded), exact.
+
+    ``rows``: optional predicate choosing the rows whose sums are wanted (the
+    distances still go to all rows); the other rows are only partners.
+    """
     pts = points.where(F.col("cluster_id") >= 0)
     n = pts.count()
     nb = n_blocks(n, block_rows)
     left, right = _sides(pts, key, [vec, "cluster_id"], nb, ordered=False)
+    if rows is not None:
+        chosen = pts.where(rows).select(F.col(key).alias("_k"))
+        left = left.join(chosen, left[key] == chosen["_k"], "left_semi")
 
     def sums(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:

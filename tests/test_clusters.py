@@ -102,3 +102,31 @@ def test_silhouette_singleton_cluster(spark):
     X = np.array([r[1] for r in rows])
     lab = np.array([r[2] for r in rows])
     assert abs(EV.silhouette(df) - np_silhouette(X, lab).mean()) < 1e-12
+
+
+def test_silhouette_sampled_mode(spark):
+    rows, df = _points(spark, n=120)
+    exact = EV.silhouette_values(df, block_rows=32).collect()
+    full = {r["sample_key"]: r["silhouette"] for r in exact}
+    from pyspark.sql import functions as F
+    u = F.xxhash64(F.lit(42), F.col("sample_key")).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    chosen = [r["sample_key"] for r in df.where("cluster_id >= 0").where(u < 0.3).collect()]
+    got = EV.silhouette(df, mode="sampled", fraction=0.3, block_rows=32)
+    # each sampled row gets its exact value against all rows
+    assert abs(got - np.mean([full[k] for k in chosen])) < 1e-12
+
+
+def test_store_roundtrip(spark, tmp_path):
+    import pytest as _pytest
+    from lineagelab.sources import store
+    from lineagelab.plans.scoring import ScoringModel
+    m = ScoringModel(lineages=["k__A|p__B"], leaf_names=["B"], phyla=["B"], mean=[0.5], scale=[1.0],
+                     centroids=[(0, [0.1]), (2, [0.9])], ranges={0: (0.0, 1.0), 2: (0.5, 0.5)})
+    p = str(tmp_path / "model")
+    store.save_scoring_model(spark, m, p)
+    back = store.load_scoring_model(spark, p)
+    assert back.centroids == m.centroids and back.ranges == m.ranges and back.atlas_dims == m.atlas_dims
+    store.save_selected(spark, "pca_gmm", str(tmp_path / "sel"))
+    assert store.load_selected(spark, str(tmp_path / "sel")) == "pca_gmm"
+    with _pytest.raises(FileNotFoundError):
+        store.load_table(spark, str(tmp_path / "nothing"))

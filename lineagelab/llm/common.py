@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +69,11 @@ def global_rank(df: DataFrame, keys: list, name: str, label: str) -> DataFrame:
             .drop(pid, at, "skip"))
 
 
-def package_file(name: str) -> str:
-    return os.path.join(os.path.dirname(os.path.abspath(__file__)), name)
-
+def bound_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``, after setting its session to Arrow batches of at most ``size`` bytes.
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
+    Rows of whole texts vary from a few bytes to megabytes; the default bound of rows
+    alone would let a batch of long documents fill a task's memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df

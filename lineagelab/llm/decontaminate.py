@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
+from .common import blank_count, bound_batches, materialize, with_row_id, words_line
 
 WINDOW = 13
 SHINGLE = 5
@@ -233,7 +234,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     One block of windows (the usual case) needs no shuffle: the verdict is made in
     the scan. More blocks are joined by row id from the runs each block found.
     """
-    docs = docs.drop(*JUDGED.names)
+    docs = bound_batches(docs.drop(*JUDGED.names))
     blocks = _blocks(benchmark, window, shingle)
     block, following = next(blocks), next(blocks, None)
     sc = docs.sparkSession.sparkContext
@@ -242,8 +243,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     if following is None:
         block.prefix(_frequency(docs, block))
         return docs.mapInArrow(_find_task(sc.broadcast(block), at), schema)
-    from .common import materialize, with_row_id
-
     rows = materialize(with_row_id(docs.select(F.struct("*").alias("row")), "_rid"), "decontaminate")
     plain = rows.select("_rid", F.col("row.text").alias("text"))
     runs = None
@@ -262,8 +261,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
         lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(r["first"], a["to"]))).alias("n"),
                               F.greatest(a["to"], r["end"]).alias("to")))["n"]
     found = merged.select("_rid", step.alias("n_hit"), "items")
-    from .common import blank_count, words_line
-
     line = words_line(F.col("row.text"))
     n_words = F.when(line == "", 0).otherwise(blank_count(line) + 1).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

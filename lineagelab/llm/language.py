@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
+from .common import bound_batches, materialize
 
 ORDER = 3
 # Bound of the frozen model, and of the 4-byte runs that the driver takes per language.
@@ -192,10 +193,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame) -> Model:
     """Frozen trees from text and non-null lang of all documents outside the held-out third."""
     training = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    runs = (training.select("lang", "text").mapInArrow(_count_task, "lang string, run long, c long")
+    runs = (bound_batches(training).select("lang", "text").mapInArrow(_count_task, "lang string, run long, c long")
             .groupBy("lang", "run").agg(F.sum("c").alias("c")))
-    from .common import materialize
-
     runs = materialize(runs, "ppm-runs")
     sizes = {r.lang: r.n for r in runs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     model: dict = {}
@@ -238,7 +237,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the posterior of the chosen language under equal priors.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = bound_batches(docs.drop("lang_pred", "score"))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)     # MODEL_BYTES at most

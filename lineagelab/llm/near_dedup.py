@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import materialize, small_side, with_row_id
+from .common import bound_batches, materialize, small_side, with_row_id
 from .components import merge_classes
 
 SHINGLE = 5
@@ -48,6 +48,7 @@ LEVELS = 16
 # Number of fixed random draws (r, c, beta) that the hash of (shingle, sample) selects from.
 DRAWS = 1 << 14
 _SLICE = 64                                                      # parts of the frequency vector
+_PAIRS = 128                                                     # pairs verified at once, to bound memory
 
 
 def _shingles(words: textscan.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,11 +72,24 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)                 # 20 bits: DF_BUCKETS
 
 
+def _together(arrays: Iterator[np.ndarray], least: int) -> Iterator[np.ndarray]:
+    """The arrays joined until at least ``least`` entries are together."""
+    have, n = [], 0
+    for a in arrays:
+        have.append(a)
+        n += len(a)
+        if n >= least:
+            yield np.concatenate(have)
+            have, n = [], 0
+    if have:
+        yield np.concatenate(have)
+
+
 def _frequency_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(DF_BUCKETS, dtype=np.int32)
     for batch in batches:
-        for _, _, words in textscan.scan(batch.column(0)):
-            counts += np.bincount(_bucket(_shingles(words)[1]), minlength=DF_BUCKETS).astype(np.int32)
+        for some in _together((_bucket(_shingles(words)[1]) for _, _, words in textscan.scan(batch.column(0))), DF_BUCKETS):
+            counts += np.bincount(some, minlength=DF_BUCKETS).astype(np.int32)
     parts = counts.reshape(_SLICE, -1)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(_SLICE, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
@@ -196,7 +210,7 @@ def _verify_task(shared, similarity: float):
     """(a, b, text_a, text_b) -> the pairs whose weighted Jaccard similarity reaches the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        for batch in batches:
+        for batch in (b.slice(lo, _PAIRS) for b in batches for lo in range(0, b.num_rows, _PAIRS)):
             texts = {}                                           # each text of the batch is cut once
             for ids, column in ((0, 2), (1, 3)):
                 for i, t in zip(batch.column(ids).to_pylist(), range(batch.num_rows)):
@@ -248,7 +262,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``docs`` needs the columns ``rid`` (see ``with_row_id``) and ``text``.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("rid", "text")
+    docs = bound_batches(docs.select("rid", "text"))
     shared = sc.broadcast(idf_levels(docs))
     digest = F.when((F.col("text") == "") | F.col("text").isNull(), F.concat(F.lit("row "), F.col("rid").cast("string"))) \
         .otherwise(F.sha2("text", 256))

@@ -33,7 +33,7 @@ from .common import bound_batches, materialize
 
 ORDER = 3
 # Bound of the frozen model, and of the 4-byte runs that the driver takes per language.
-MODEL_BYTES = 96 << 20
+MODEL_BYTES = 40 << 20
 MAX_RUNS = 400_000
 UNIT = 1024
 

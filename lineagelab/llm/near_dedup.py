@@ -9,11 +9,12 @@
    different pseudo-random leader in each band), so large groups of near copies cost
    one comparison per member and band, not one per pair.
 5. Verified links (weighted Jaccard >= ``SIMILARITY``) are merged to classes.
-6. Round two compares what round one left open: pairs in a common bucket that are not
-   yet of one class. Two exact or sketch bounds cut them before texts are fetched: the
-   ratio of total weights (an upper bound of the similarity), and agreement of the
-   whole sketch (``AGREE`` of 48 samples; a pair at 0.8 misses it with probability
-   below 0.001). Classes are merged again.
+6. Round two settles what round one left open: documents in buckets that still hold
+   several classes. Among those, an exact weighted prefix join finds all pairs that can
+   be similar: shingles are ordered by rarity, and a pair at 0.8 must share one of the
+   rarest shingles that make up a fifth of each one's weight. A near copy with more
+   than a fifth of changed weight thus meets nobody, however large its family. Pairs of
+   one class are left out, the others verified, and the classes merged again.
 
 IDF is 1 + IDF_SHARE * ln(min(N / df, 1000)) / ln(1000): from 1 for a shingle in every
 document to 1.5 for one in a thousandth of them or fewer. The clip makes it alike
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -41,7 +42,6 @@ from .components import merge_classes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-AGREE = 26
 DF_BUCKETS = 1 << 20
 IDF_SHARE, IDF_CLIP = 0.5, 1000.0
 LEVELS = 16
@@ -175,15 +175,14 @@ class Sampler:
 
 
 def _sketch_task(shared):
-    """(rid, digest, text) -> (rid, digest, total weight, band keys, packed 16-bit samples)."""
+    """(rid, text) -> (rid, total weight, band keys)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, sampler = shared.value, Sampler()
         for batch in batches:
             total = np.zeros(batch.num_rows)
             bands = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
-            packed = np.zeros((batch.num_rows, sampler.k // 4), dtype=np.uint64)
             some = np.zeros(batch.num_rows, dtype=bool)
-            for lo, _, words in textscan.scan(batch.column(2)):
+            for lo, _, words in textscan.scan(batch.column(1)):
                 doc, h, tf = _shingles(words)
                 level = levels[_bucket(h)]
                 rows, s = sampler.sketch(doc, h, tf, level)
@@ -196,13 +195,10 @@ def _sketch_task(shared):
                     for j in range(ROWS):
                         key = textscan.mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, b * ROWS + j])
                     bands[rows, b] = key
-                lanes = (s & np.uint64(0xFFFF)).reshape(len(rows), -1, 4)
-                packed[rows] = (lanes << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64)
-            as_lists = lambda m: pa.ListArray.from_arrays(
-                pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(total), as_lists(bands), as_lists(packed)],
-                names=["rid", "digest", "total", "bands", "packed"]).filter(pa.array(some))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS),
+                                            pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), keys],
+                                             names=["rid", "total", "bands"]).filter(pa.array(some))
     return run
 
 
@@ -246,14 +242,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float, lab
     return materialize(both.mapInArrow(_verify_task(shared, similarity), "a long, b long"), label)
 
 
-def _agreement(a: str, b: str) -> Column:
-    """How many of the 48 packed 16-bit samples of two sketches agree."""
-    n = F.lit(0)
-    for i in range(BANDS * ROWS // 4):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for j in range(4):
-            n = n + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
-    return n
+def _weight_task(shared):
+    """(rid, text) -> (rid, shingle, weight, total weight of the text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, hi, words in textscan.scan(batch.column(1)):
+                doc, h, tf = _shingles(words)
+                w = weights(tf, levels[_bucket(h)])
+                total = np.bincount(doc, weights=w, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo + doc]), pa.array(h.view(np.int64)), pa.array(w), pa.array(total[doc])],
+                    names=["rid", "h", "w", "total"])
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, labels: DataFrame, shared, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes among ``texts`` that can reach the similarity (exact)."""
+    shingles = texts.mapInArrow(_weight_task(shared), "rid long, h long, w double, total double")
+    shingles = materialize(shingles, "near-shingles")
+    common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a shingle of one text only comes first in the order and meets nobody
+    own = shingles.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    before = F.sum("w").over(Window.partitionBy("rid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = (own.withColumn("before", F.coalesce(before, F.lit(0.0)))
+              .where((F.col("df") > 1) & (F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total")))
+              .select("rid", "h", "total"))
+    prefix = materialize(prefix.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
+                         .withColumn("label", F.coalesce("label", "rid")), "near-prefix")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    return (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label"))
+                   & (F.least("x.total", "y.total") >= F.lit(similarity - 1e-6) * F.greatest("x.total", "y.total")))
+            .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,12 +289,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .otherwise(F.sha2("text", 256))
     members = materialize(docs.select("rid", digest.alias("digest")), "near-members")
     reps = members.groupBy("digest").agg(F.min("rid").alias("copy_rid"))
-    sketches = materialize(
-        docs.select("rid", digest.alias("digest"), "text")
-        .mapInArrow(_sketch_task(shared), "rid long, digest string, total double, bands array<long>, packed array<long>"),
-        "near-sketches")
+    sketches = docs.mapInArrow(_sketch_task(shared), "rid long, total double, bands array<long>")
     # one sketch per distinct text
-    sketches = materialize(sketches.join(reps.select(F.col("copy_rid").alias("rid")), "rid", "left_semi").drop("digest"), "near-distinct")
+    sketches = materialize(sketches.join(reps.select(F.col("copy_rid").alias("rid")), "rid", "left_semi"), "near-sketches")
     banded = sketches.select("rid", "total", F.posexplode("bands").alias("band", "key"))
     order = F.xxhash64("rid", "band")
     leaders = (banded.groupBy("band", "key")
@@ -284,7 +302,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                    .where((F.col("rid") != F.col("leader")) & (low >= F.lit(similarity - 1e-6) * high)))
     stars = shared_band.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
     stars = materialize(stars, "near-stars")
-    texts = _texts_of(docs, stars)
+    texts = _texts_of(docs, stars.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
     links = _verified(stars, texts, shared, similarity, "near-links")
     labels = merge_classes(links)
     # what the stars left open: pairs of a bucket that are not of one class yet
@@ -292,28 +310,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 .select("band", "key", "rid", "total", F.coalesce("label", "rid").alias("label")))
     mixed = (labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo < hi").select("band", "key"))
-    open_rows = materialize(
-        labelled.join(mixed, ["band", "key"], "left_semi")
-        .join(sketches.select(F.col("rid").alias("r"), "packed"), F.col("rid") == F.col("r")).drop("r"), "near-open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    pairs = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-                    & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label"))
-                    & (F.least("x.total", "y.total") >= F.lit(similarity - 1e-6) * F.greatest("x.total", "y.total"))
-                    & (_agreement("x.packed", "y.packed") >= AGREE))
-             .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    more = _verified(pairs, _texts_of(docs, pairs), shared, similarity, "near-more")
+    open_rows = labelled.join(mixed, ["band", "key"], "left_semi").select("rid").distinct()
+    open_texts = _texts_of(docs, open_rows)
+    pairs = materialize(_prefix_pairs(open_texts, labels, shared, similarity).join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    more = _verified(pairs, open_texts, shared, similarity, "near-more")
     labels = merge_classes(links.unionByName(more))
     copies = members.join(reps, "digest").select("rid", "copy_rid")
     return (copies.join(labels.withColumnRenamed("node", "copy_rid"), "copy_rid", "left")
             .select("rid", F.coalesce("label", "copy_rid").alias("class_rid"), "copy_rid"))
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of all representatives in ``pairs``, written once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    wanted = materialize(wanted, "near-wanted")
-    return materialize(docs.join(small_side(wanted, 16), "rid", "left_semi"), "near-texts")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the row ids in ``wanted``, written once."""
+    return materialize(docs.join(small_side(materialize(wanted, "near-wanted"), 16), "rid", "left_semi"), "near-texts")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, sharding
+from . import (decontaminate, fingerprints, host_reputation, language, licenses, line_dedup, mixing, near_dedup, sharding,
+               token_counts)
 from .common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.match_lines(read(spark, sf_dir, "documents")).drop("rid")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_rows(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs)
@@ -29,6 +46,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(docs, read(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_sections(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"))
 
@@ -40,4 +61,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_language_id, op6_source_mixing, op7_near_dedup, op8_decontamination, op10_sharding, pipeline)}
+    op1_line_dedup, op2_url_filter, op3_license_scan, op4_fingerprints, op5_language_id, op6_source_mixing,
+    op7_near_dedup, op8_decontamination, op9_token_counts, op10_sharding, pipeline)}

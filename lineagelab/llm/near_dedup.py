@@ -14,7 +14,9 @@
    be similar: shingles are ordered by rarity, and a pair at 0.8 must share one of the
    rarest shingles that make up a fifth of each one's weight. A near copy with more
    than a fifth of changed weight thus meets nobody, however large its family. Pairs of
-   one class are left out, the others verified, and the classes merged again.
+   one class and pairs whose sketches agree in fewer than ``AGREE`` of 48 samples (a pair
+   at 0.8 has 38 on average and falls below with probability 0.004) are left out; every
+   other pair is made once, verified, and the classes merged again.
 
 IDF is 1 + IDF_SHARE * ln(min(N / df, 1000)) / ln(1000): from 1 for a shingle in every
 document to 1.5 for one in a thousandth of them or fewer. The clip makes it alike
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -42,6 +44,7 @@ from .components import merge_classes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+AGREE = 31
 DF_BUCKETS = 1 << 20
 IDF_SHARE, IDF_CLIP = 0.5, 1000.0
 LEVELS = 16
@@ -175,12 +178,13 @@ class Sampler:
 
 
 def _sketch_task(shared):
-    """(rid, text) -> (rid, total weight, band keys)."""
+    """(rid, text) -> (rid, total weight, band keys, samples packed as 16-bit lanes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, sampler = shared.value, Sampler()
         for batch in batches:
             total = np.zeros(batch.num_rows)
             bands = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
+            packed = np.zeros((batch.num_rows, sampler.k // 4), dtype=np.uint64)
             some = np.zeros(batch.num_rows, dtype=bool)
             for lo, _, words in textscan.scan(batch.column(1)):
                 doc, h, tf = _shingles(words)
@@ -195,13 +199,17 @@ def _sketch_task(shared):
                     for j in range(ROWS):
                         key = textscan.mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, b * ROWS + j])
                     bands[rows, b] = key
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS),
-                                            pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), keys],
-                                             names=["rid", "total", "bands"]).filter(pa.array(some))
+                lanes = (s & np.uint64(0xFFFF)).reshape(len(rows), -1, 4)
+                packed[rows] = (lanes << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), _lists(bands), _lists(packed)],
+                                             names=["rid", "total", "bands", "packed"]).filter(pa.array(some))
     return run
 
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().view(np.int64)))
+
+
 def _verify_task(shared, similarity: float):
     """(a, b, text_a, text_b) -> the pairs whose weighted Jaccard similarity reaches the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,23 +266,38 @@ def _weight_task(shared):
     return run
 
 
-def _prefix_pairs(texts: DataFrame, labels: DataFrame, shared, similarity: float) -> DataFrame:
+def _agreement(a: str, b: str) -> Column:
+    """How many of the 48 packed 16-bit samples of two sketches agree."""
+    n = F.lit(0)
+    for i in range(BANDS * ROWS // 4):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for j in range(4):
+            n = n + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
+    return n
+
+
+def _prefix_pairs(texts: DataFrame, sketches: DataFrame, labels: DataFrame, shared, similarity: float) -> DataFrame:
     """Pairs (a, b) of different classes among ``texts`` that can reach the similarity (exact)."""
     shingles = texts.mapInArrow(_weight_task(shared), "rid long, h long, w double, total double")
     shingles = materialize(shingles, "near-shingles")
     common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a shingle of one text only comes first in the order and meets nobody
     own = shingles.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    before = F.sum("w").over(Window.partitionBy("rid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1))
-    prefix = (own.withColumn("before", F.coalesce(before, F.lit(0.0)))
-              .where((F.col("df") > 1) & (F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total")))
-              .select("rid", "h", "total"))
-    prefix = materialize(prefix.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-                         .withColumn("label", F.coalesce("label", "rid")), "near-prefix")
+    ranked = Window.partitionBy("rid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (own.withColumn("before", F.coalesce(F.sum("w").over(ranked), F.lit(0.0)))
+           .where((F.col("df") > 1) & (F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total"))))
+    prefix = (cut.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("p"))       # a fifth of one text
+              .select("rid", F.col("p.h").alias("p"))
+              .join(sketches.select("rid", "total", "packed"), "rid")
+              .join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")))
+    prefix = materialize(prefix, "near-prefix").select("rid", "total", "packed", "label", "p", F.posexplode("p").alias("at", "h"))
     x, y = prefix.alias("x"), prefix.alias("y")
+    # made at the first shingle that both prefixes have, so once
+    first = ~F.arrays_overlap(F.slice("x.p", F.lit(1), F.col("x.at")), F.slice("y.p", F.lit(1), F.col("y.at")))
     return (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label"))
-                   & (F.least("x.total", "y.total") >= F.lit(similarity - 1e-6) * F.greatest("x.total", "y.total")))
-            .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
+                   & (F.least("x.total", "y.total") >= F.lit(similarity - 1e-6) * F.greatest("x.total", "y.total"))
+                   & (_agreement("x.packed", "y.packed") >= AGREE) & first)
+            .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,7 +312,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .otherwise(F.sha2("text", 256))
     members = materialize(docs.select("rid", digest.alias("digest")), "near-members")
     reps = members.groupBy("digest").agg(F.min("rid").alias("copy_rid"))
-    sketches = docs.mapInArrow(_sketch_task(shared), "rid long, total double, bands array<long>")
+    sketches = docs.mapInArrow(_sketch_task(shared), "rid long, total double, bands array<long>, packed array<long>")
     # one sketch per distinct text
     sketches = materialize(sketches.join(reps.select(F.col("copy_rid").alias("rid")), "rid", "left_semi"), "near-sketches")
     banded = sketches.select("rid", "total", F.posexplode("bands").alias("band", "key"))
@@ -312,7 +335,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
              .where("lo < hi").select("band", "key"))
     open_rows = labelled.join(mixed, ["band", "key"], "left_semi").select("rid").distinct()
     open_texts = _texts_of(docs, open_rows)
-    pairs = materialize(_prefix_pairs(open_texts, labels, shared, similarity).join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    pairs = materialize(_prefix_pairs(open_texts, sketches, labels, shared, similarity).join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = _verified(pairs, open_texts, shared, similarity, "near-more")
     labels = merge_classes(links.unionByName(more))
     copies = members.join(reps, "digest").select("rid", "copy_rid")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .sql_more import SQL as MORE
+
+SQL: dict[str, str] = dict(MORE)
 
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOW = "translate(coalesce({0},''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"

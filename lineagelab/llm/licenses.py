@@ -201,10 +201,9 @@ def _as_line(pattern: str) -> str:
     return " " + "".join(wide) + " "
 
 
-def line_of(text: Column) -> Column:
-    """' w1  w2  w3 ' for the words of the text, '' if there is none."""
-    line = words_line(text)
-    return F.when(line == "", "").otherwise(F.concat(F.lit(" "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit(" ")))
+def line_of(plain: Column) -> Column:
+    """' w1  w2  w3 ' for words joined by blanks, '' if there is none."""
+    return F.when(plain == "", "").otherwise(F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" ")))
 
 
 def n_words_of(line: Column) -> Column:
@@ -242,20 +241,20 @@ def _spans(line: Column, rule: Column) -> Column:
 
 def _rules_literal(every: list[Rule]) -> Column:
     return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"),
-                              F.lit(" " + r.gate + " ").alias("gate"), F.lit(_as_line(r.pattern)).alias("pattern"))
+                              F.lit(r.gate).alias("gate"), F.lit(_as_line(r.pattern)).alias("pattern"))
                      for r in every])
 
 
-def detections(line: Column, every: list[Rule] | None = None) -> Column:
-    """The intervals that survive suppression."""
-    every = every or rules()
-    any_gate = F.lit(False)
-    for g in dict.fromkeys(r.gate for r in every):
-        any_gate = any_gate | F.contains(line, F.lit(f" {g} "))
-    table = _rules_literal(every)
-    hit = F.filter(table, lambda r: F.contains(line, r["gate"]))
+def gates_in(plain: Column, every: list[Rule]) -> Column:
+    """The keywords of the rules that are among the words: one hash lookup per word."""
+    return F.array_intersect(F.array(*[F.lit(g) for g in dict.fromkeys(r.gate for r in every)]), F.split(plain, " "))
+
+
+def detections(line: Column, gates: Column, every: list[Rule]) -> Column:
+    """All intervals of the rules whose gate was found."""
+    hit = F.filter(_rules_literal(every), lambda r: F.array_contains(gates, r["gate"]))
     spans = F.flatten(F.transform(hit, lambda r: _spans(line, r)))
-    return F.when(any_gate, spans).otherwise(F.array().cast("array<struct<first:long,end:long,priority:int,label:string>>"))
+    return F.when(F.size(gates) > 0, spans).otherwise(F.array().cast("array<struct<first:long,end:long,priority:int,label:string>>"))
 
 
 def suppressed(spans: Column) -> Column:
@@ -272,8 +271,10 @@ def _joined(labels: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, kept spans per document."""
-    line = docs.select("doc_id", line_of(F.col("text")).alias("line"))
-    found = line.withColumn("spans", detections(F.col("line")))
+    every = rules()
+    plain = docs.select("doc_id", words_line(F.col("text")).alias("plain"))
+    line = plain.select("doc_id", line_of(F.col("plain")).alias("line"), gates_in(F.col("plain"), every).alias("gates"))
+    found = line.withColumn("spans", detections(F.col("line"), F.col("gates"), every))
     kept = found.withColumn("kept", suppressed(F.col("spans")))
     places = [_places(F.col("line"), p) for p, _ in BASE]
     n_base = sum((c for c, _, _ in places[1:]), places[0][0])

@@ -79,7 +79,7 @@ def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str
 
     def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "cosine": []})
+            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "score": []})
         if metric == "cosine":
             s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
         else:  # negated distance, so "larger is nearer" in both cases
@@ -204,7 +204,7 @@ def knn_between(queries: DataFrame, refs: DataFrame, k: int, key: str = "sample_
 
     def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "cosine": []})
+            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "score": []})
         s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
         lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
         kk = min(k, s.shape[1])

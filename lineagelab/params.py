@@ -51,7 +51,6 @@ UNNAMED = ["", "unclassified", "unknown"]
 # Display-name preference, most specific first (strain ignored).
 DISPLAY_ORDER = ["species", "genus", "family", "order", "class", "phylum", "kingdom"]
 
-PIPELINE_IDS = ["pca_kmeans", "pca_gmm", "umap_hdbscan"]
 
 NOISE_LABEL = -1
 GLOBAL_IMPORTANCE_CLUSTER = -99

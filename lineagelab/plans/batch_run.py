@@ -73,13 +73,13 @@ def run_all(spark: SparkSession, abundance: DataFrame, samples: DataFrame, raw_m
     pts_pca = reduced.withColumnRenamed("pca", "vec")
     pts_map = atlas.select("sample_key", F.array("atlas_x", "atlas_y").alias("vec"))
     labelled = {}
-    for method, space in (("pca_kmeans", pts_pca), ("pca_gmm", pts_pca), ("umap_hdbscan", pts_map)):
+    for method, space in (("pca_kmeans", pts_pca), ("pca_gmm", pts_pca), ("map_density", pts_map)):
         lab = assignments.where(F.col("method") == method).select("sample_key", "cluster_id")
         labelled[method] = space.join(lab, "sample_key")
     evaluation = step("evaluate", lambda: save("evaluation", evaluate_methods(labelled)))
     best = evaluation.where("selected").first()["method"]
     out["evaluation"] = evaluation
-    space = pts_map if best == "umap_hdbscan" else pts_pca
+    space = pts_map if best == "map_density" else pts_pca
     chosen = assignments.where(F.col("method") == best).select("sample_key", "cluster_id")
     points = space.join(chosen, "sample_key")
 

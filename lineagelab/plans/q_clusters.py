@@ -189,23 +189,20 @@ def q_edges(spark, sf_dir):
     return e.select("source", "target", rnd("weight").alias("weight"))
 
 
-NODES_SQL = "nodes AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(sample_key AS VARCHAR)) LIMIT 500)"
+NODES_SQL = "nodes AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(sample_key AS VARCHAR)) LIMIT 200)"
 
 
-@register("network_stats", S.with_(PTS, EDGES_SQL, NODES_SQL) + f"""
-SELECT (SELECT count(DISTINCT sample_key) FROM nodes) AS n_nodes,
-       count(*) AS n_edges, CAST({EDGE_THRESHOLD} AS DOUBLE) AS threshold
-FROM edges WHERE source IN (SELECT sample_key FROM nodes) AND target IN (SELECT sample_key FROM nodes)""")
+@register("network_stats", S.with_(PTS, EDGES_SQL) + f"""
+SELECT (SELECT count(DISTINCT sample_key) FROM pts) AS n_nodes,
+       count(*) AS n_edges, CAST({EDGE_THRESHOLD} AS DOUBLE) AS threshold FROM edges""")
 def q_network_stats(spark, sf_dir):
     pts = fixtures.points(spark, sf_dir)
-    nodes = G.sample_nodes(pts, 500)
-    e = G.network_subgraph(nodes, threshold_edges(pts, EDGE_THRESHOLD, block_rows=128))
-    return G.network_stats(nodes, e, EDGE_THRESHOLD)
+    return G.network_stats(pts, threshold_edges(pts, EDGE_THRESHOLD, block_rows=128), EDGE_THRESHOLD)
 
 
 @register("sampled_nodes", S.with_(PTS, NODES_SQL) + "SELECT sample_key, cluster_id FROM nodes")
 def q_sampled_nodes(spark, sf_dir):
-    return G.sample_nodes(fixtures.points(spark, sf_dir), 500).select("sample_key", "cluster_id")
+    return G.sample_nodes(fixtures.points(spark, sf_dir), 200).select("sample_key", "cluster_id")
 
 
 CC_SQL = ("WITH RECURSIVE " + S.with_(PTS, EDGES_SQL, """

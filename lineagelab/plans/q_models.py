@@ -13,10 +13,13 @@ from ..functions.scores import rnd
 from ..operators import models as M
 from ..operators.density import density_cluster
 from ..operators.metadata import clean_metadata
+from ..params import ImportanceParams
 from ..sources import fixtures
 from .context import prepare
 from .registry import register
 
+TOP_GLOBAL = ImportanceParams().top_global
+
 DENSITY_EPS = 0.02
 DENSITY_MIN_SAMPLES = 5
 DENSITY_MIN_SIZE = 10
@@ -76,12 +79,12 @@ def _importance(spark, sf_dir):
     prep = prepare(spark, sf_dir)
     labels = fixtures.segment_labels(spark, sf_dir)
     model = M.fit_importance_model(prep.std.vectors, labels)
-    return prep, labels, M.global_importance(model, prep.features)
+    return prep, labels, M.global_importance(model, prep.features, top=None)
 
 
 @register("importance_global")
 def q_importance_global(spark, sf_dir):
-    return _importance(spark, sf_dir)[2]
+    return _importance(spark, sf_dir)[2].where(F.col("rank") <= TOP_GLOBAL)
 
 
 @register("importance_per_cluster")
@@ -89,7 +92,7 @@ def q_importance_per_cluster(spark, sf_dir):
     prep, labels, glob = _importance(spark, sf_dir)
     per = M.cluster_importance(glob, labels.where("cluster_id >= 0"), mode="enrichment",
                                vectors=prep.std.vectors, labels=labels)
-    return M.importance_table(glob.where("rank <= 10"), per)
+    return M.importance_table(glob.where(F.col("rank") <= TOP_GLOBAL), per)
 
 
 @register("method_evaluation")
@@ -106,7 +109,7 @@ def q_method_evaluation(spark, sf_dir):
     return evaluate_methods({
         "pca_kmeans": pts.join(km, "sample_key"),
         "pca_gmm": pts.join(gm, "sample_key"),
-        "umap_hdbscan": atlas.join(dc.select("sample_key", "cluster_id"), "sample_key"),
+        "map_density": atlas.join(dc.select("sample_key", "cluster_id"), "sample_key"),
     })
 
 

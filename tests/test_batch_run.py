@@ -18,6 +18,6 @@ def test_run_all(spark):
     assert out["fingerprints"].count() == n
     ev = out["evaluation"].collect()
     assert len(ev) == 3 and sum(r["selected"] for r in ev) == 1
-    assert out["selected_method"] in {"pca_kmeans", "pca_gmm", "umap_hdbscan"}
+    assert out["selected_method"] in {"pca_kmeans", "pca_gmm", "map_density"}
     assert all(r["violations"] == 0 for r in out["checks"].collect())
     assert out["clusters"].where("narrative IS NULL").count() == 0

@@ -1,6 +1,7 @@
 """Block-pair kNN / edges and connected components against brute force."""
 
 import numpy as np
+import pytest
 
 from lineagelab.operators.graph import connected_components
 from lineagelab.operators.pairs import knn_candidates, threshold_edges
@@ -57,3 +58,19 @@ def test_connected_components(spark):
     nodes = spark.createDataFrame([(v,) for v in range(n)], "id long")
     got = {r["node"]: r["component"] for r in connected_components(e, nodes).collect()}
     assert got == want
+
+
+def test_more_blocks_than_rows(spark):
+    rows = [(i, [float(i % 5) + 0.1, float(i % 3), 1.0 + i]) for i in range(12)]
+    pts = spark.createDataFrame(rows, "sample_key long, vec array<double>")
+    few = {(r.sample_key, r.neighbor_key) for r in knn_candidates(pts, 3, block_rows=1).collect()}
+    one = {(r.sample_key, r.neighbor_key) for r in knn_candidates(pts, 3, block_rows=100).collect()}
+    assert few == one and len(one) == 36
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(80)], "source long, target long, weight double")
+    got = connected_components(edges).collect()
+    assert len(got) == 81 and {r.component for r in got} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=2)

@@ -1,5 +1,7 @@
 """Every registered query with a DuckDB twin matches it (small scale factor)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -7,7 +9,8 @@ from oracle_check import compare
 
 from conftest import SF_SMALL
 
-NAMES = sorted(E.oracle_sql())
+# the twins of the optional subpackage are compared in its own tests
+NAMES = sorted(n for n in E.oracle_sql() if not re.match(r"op\d+_", n))
 
 
 def test_entry_smoke(spark):

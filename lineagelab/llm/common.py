@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path  # noqa: F401  (re-exported)
+from ..session import scratch_path
 
 # Largest estimated size of a side that may be broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -15,6 +15,13 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back; zstd, as whole texts pass through it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

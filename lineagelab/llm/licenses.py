@@ -2,8 +2,9 @@
 
 The text becomes a line in which every word stands between two blanks of its own, so
 a signature can be matched on word limits without look-around. Every rule has a
-label, a priority, a gate (a keyword that must occur in the line before the
-regular expression is tried) and a regular expression over words. A detection is an
+label, a priority, a gate (a word that every match contains, looked up before the
+regular expression is tried) and a regular expression over words. Names that may be
+glued ('gpl v2', 'gplv2', 'gpl2') have one rule per form. A detection is an
 interval of words; it is dropped when it lies inside an interval of higher
 priority, or inside a longer one of equal priority. The base phrases are counted on
 their own and keep their labels whatever else is found.
@@ -33,7 +34,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 class Rule:
     label: str
     priority: int                  # 4: name and version, 3: name or legal sentence, 2: mention, 1: base phrase
-    gate: str                      # plain words, must occur in the line
+    gate: str                      # a whole word of every match
     pattern: str                   # regular expression, words separated by one blank
 
 
@@ -66,6 +67,17 @@ def _creative_commons() -> list[Rule]:
     return out
 
 
+def _short_name(label: str, short: str, tail: str, versions: tuple) -> list[Rule]:
+    """'gpl 2', 'gpl v2', 'gplv 2', 'gplv2', 'gpl2': a rule per form, as each has another first word."""
+    out = []
+    for v in versions:
+        major = v.split(".")[0]
+        for gate, pattern in ((short, f"{short} v? ?{{v}}"), (f"{short}v", f"{short}v {{v}}"),
+                              (f"{short}v{major}", f"{short}v{{v}}"), (f"{short}{major}", f"{short}{{v}}")):
+            out += _versions(label, 4, gate, pattern + tail, (v,))
+    return out
+
+
 def _gnu() -> list[Rule]:
     out = []
     for short, name, versions in (("gpl", "general public license", ("1.0", "2.0", "3.0")),
@@ -77,8 +89,8 @@ def _gnu() -> list[Rule]:
         out += _versions(f"{short}-{{n}}", 4, gate, full, versions)
         out += _versions(f"{short}-{{n}}-or-later", 4, gate, full + " (?:of the license )?or (?:at your option )?any later version", versions)
         out += _versions(f"{short}-{{n}}-only", 4, gate, full + " only", versions)
-        out += _versions(f"{short}-{{n}}", 4, short, f"{short} ?v? ?{{v}}", versions)
-        out += _versions(f"{short}-{{n}}-or-later", 4, short, f"{short} ?v? ?{{v}} or later", versions)
+        out += _short_name(f"{short}-{{n}}", short, "", versions)
+        out += _short_name(f"{short}-{{n}}-or-later", short, " or later", versions)
         out.append(Rule(short, 3, gate, f"gnu {name}"))
         out.append(Rule(short, 2, short, short))
     return out
@@ -110,7 +122,7 @@ def _named() -> list[Rule]:
         out += _versions(f"{short}-{{n}}", 4, gate, f"{name}(?: v| version)? {{v}}", versions)
         out.append(Rule(short, 3, gate, f"(?:the )?{name}"))
         if len(short) > 2:
-            out += _versions(f"{short}-{{n}}", 4, short, f"{short.replace('-', ' ')} {{v}}", versions)
+            out += _versions(f"{short}-{{n}}", 4, short.split("-")[0], f"{short.replace('-', ' ')} {{v}}", versions)
     return out
 
 
@@ -129,9 +141,10 @@ def _sentences() -> list[Rule]:
         Rule("bsd-2-clause", 4, "bsd", "bsd 2 clause(?: license)?"),
         Rule("bsd-2-clause", 4, "simplified", "simplified bsd license"),
         Rule("bsd-3-clause", 4, "bsd", "bsd 3 clause(?: license)?"),
-        Rule("bsd-3-clause", 4, "revised", "(?:revised|modified) bsd license"),
+        Rule("bsd-3-clause", 4, "bsd", "(?:revised|modified) bsd license"),
         Rule("bsd-4-clause", 4, "bsd", "bsd 4 clause(?: license)?"),
-        Rule("0bsd", 4, "bsd", "(?:0bsd|bsd zero clause)(?: license)?"),
+        Rule("0bsd", 4, "0bsd", "0bsd(?: license)?"),
+        Rule("0bsd", 4, "bsd", "bsd zero clause(?: license)?"),
         Rule("bsd", 3, "bsd", "(?:new )?bsd(?: style)? licen[cs]e"),
         Rule("isc", 3, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
         Rule("isc", 3, "isc", "isc license"),
@@ -143,7 +156,8 @@ def _sentences() -> list[Rule]:
         Rule("wtfpl", 2, "wtfpl", "wtfpl"),
         Rule("postgresql", 3, "postgresql", "postgresql licen[cs]e"),
         Rule("openssl", 3, "openssl", "openssl license"),
-        Rule("beerware", 3, "beer", "(?:the )?beer ?ware license"),
+        Rule("beerware", 3, "beer", "(?:the )?beer ware license"),
+        Rule("beerware", 3, "beerware", "(?:the )?beerware license"),
         Rule("ncsa", 3, "illinois", "university of illinois ncsa open source license"),
         Rule("curl", 3, "curl", "curl license"),
         Rule("json", 3, "evil", "the software shall be used for good not evil"),
@@ -168,9 +182,11 @@ def _sentences() -> list[Rule]:
         Rule("proprietary", 3, "redistributed", "may not be published broadcast rewritten or redistributed"),
         Rule("licensed", 2, "licensed", "licensed under"),
         Rule("licensed", 2, "license", "(?:this|the) license"),
-        Rule("non-commercial", 2, "commercial", "(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
+        Rule("non-commercial", 2, "commercial", "(?:for )?non commercial (?:use|purposes)(?: only)?"),
+        Rule("non-commercial", 2, "noncommercial", "(?:for )?noncommercial (?:use|purposes)(?: only)?"),
         Rule("terms", 2, "terms", "terms (?:of use|of service|and conditions)"),
-        Rule("trademark", 2, "trademark", "(?:registered )?trademarks? of"),
+        Rule("trademark", 2, "trademark", "(?:registered )?trademark of"),
+        Rule("trademark", 2, "trademarks", "(?:registered )?trademarks of"),
     ]
 
 

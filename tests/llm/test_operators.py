@@ -275,6 +275,44 @@ def test_every_rule_compiles_and_matches_its_gate():
         assert r.gate == r.gate.lower() and " " not in r.gate
 
 
+def matches_of(parsed):
+    """Lines that a parsed pattern matches: every branch, every optional part with and without."""
+    parts = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "SUBPATTERN":
+            parts.append(matches_of(arg[3]))
+        elif op == "BRANCH":
+            parts.append([m for branch in arg[1] for m in matches_of(branch)])
+        elif op == "IN":
+            parts.append([chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg])
+        elif op in ("ANY", "NOT_LITERAL"):
+            parts.append(["q"])
+        else:
+            least, most, inner = arg
+            parts.append(["".join(m) for n in {least, min(least + 1, most)} for m in itertools.product(matches_of(inner), repeat=n)])
+    return ["".join(m) for m in itertools.product(*parts)]
+
+
+def test_every_match_contains_the_gate_of_its_rule():
+    for r in licenses.rules():
+        lines = [m for m in matches_of(re._parser.parse(licenses._as_line(r.pattern))) if re.fullmatch("( [^ ]+ )+", m)]
+        assert lines, r
+        for line in lines:
+            assert r.gate in line.split(), (r, line)
+
+
+def test_license_names_in_one_word(spark):
+    want = {"GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "LGPLv3": "lgpl-3.0", "LGPLv2.1 or later": "lgpl-2.1-or-later", "AGPLv3": "agpl-3.0",
+            "gpl3": "gpl-3.0", "gplv 3": "gpl-3.0", "GPL v3": "gpl-3.0", "GPL v 2.0": "gpl-2.0", "gpl 2": "gpl-2.0", "0BSD license": "0bsd", "BSD zero clause": "0bsd",
+            "Beerware license": "beerware", "the beer ware license": "beerware", "noncommercial use": "non-commercial",
+            "non-commercial use": "non-commercial", "trademarks of": "trademark", "a trademark of": "trademark", "MS-PL 1.0": "ms-pl-1.0"}
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")).collect()}
+    assert {t: label in got[t].split(",") for t, label in want.items()} == dict.fromkeys(want, True), got
+
+
 # --- fingerprints ----------------------------------------------------------
 
 def test_fingerprint_is_homomorphic_and_order_free(spark):

@@ -8,9 +8,10 @@ order of work. The language with the shortest code wins (ties: first name).
 Training counts 4-byte runs over all training documents as a Spark aggregation;
 the counts of shorter contexts follow from them. Bytes are normalised first: A-Z
 lower-cased, runs of ASCII characters that are not letters become one blank, and
-each text is preceded by three blanks. ``MODEL_BYTES`` bounds the frozen model: if
-the trees of all languages need more, the rarest order-3 contexts are left to
-their order-2 suffix.
+each text is preceded by three blanks. All contexts and runs of all orders are kept,
+sparsely: per language the runs that were seen and the escapes of their contexts, about
+twelve bytes per distinct run, whatever the alphabet. The model thus grows with the
+distinct runs of the training text, not with its size.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a null
 doc_id counts as the empty string for the split; with no labelled training
@@ -32,10 +33,8 @@ from . import textscan
 from .common import bound_batches, materialize
 
 ORDER = 3
-# Bound of the frozen model, and of the 4-byte runs that the driver takes per language.
-MODEL_BYTES = 40 << 20
-MAX_RUNS = 400_000
 UNIT = 1024
+_MASK = [np.uint32((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]   # the last k + 1 bytes of a run
 
 _FOLD = textscan.LOWER.copy()
 _FOLD[[i for i in range(128) if not (65 <= i <= 90 or 97 <= i <= 122)]] = 32
@@ -56,10 +55,15 @@ def _symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, kept + ORDER * np.arange(n_docs + 1)
 
 
-def _runs(sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 4-byte runs (three of context, one coded) of every document and where each begins."""
+def _codes(sym: np.ndarray) -> np.ndarray:
+    """The 4-byte runs (three of context, one coded) from every place on as numbers."""
     s = sym.astype(np.uint32)
-    code = (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+    return (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+
+
+def _runs(sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the runs of every document and where each begins."""
+    code = _codes(sym)
     inside = np.ones(len(code), dtype=bool)
     for j in range(1, ORDER + 1):                               # runs that reach into the next document
         cut = offsets[1:-1] - j
@@ -100,90 +104,71 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Frozen code lengths: ``row_of[context id]`` gives a row of ``bits[row, symbol, language]``."""
+    """Frozen code lengths: per language and order the runs and contexts seen in training, sorted."""
 
     def __init__(self, runs: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(runs)
-        n_lang = len(self.langs)
-        seen = np.unique(np.concatenate([r[0] for r in runs.values()])) if runs else np.zeros(0, np.uint32)
-        used = np.unique(np.concatenate([(seen >> s) & 255 for s in (24, 16, 8, 0)])) if len(seen) else np.array([32])
-        # symbol 0 stands for every byte never seen in training
-        self.symbol = np.zeros(256, dtype=np.int32)
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        a = self.n_symbols = len(used) + 1
-        counts = []
-        for lang in self.langs:
-            code, c = runs[lang]
-            s = [self.symbol[(code >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-            counts.append((s, c))
-        # rows: order 0, then order 1, order 2, order 3 contexts that occur in any language
-        weight = np.zeros(a ** 3, dtype=np.int64)
-        for s, c in counts:
-            np.add.at(weight, (s[0] * a + s[1]) * a + s[2], c)
-        third = np.flatnonzero(weight)
-        room = max(0, MODEL_BYTES // max(1, a * max(1, n_lang) * 4) - 1 - a - min(a * a, len(third)))
-        if len(third) > room:
-            third = np.sort(third[np.lexsort((third, -weight[third]))[:room]])
-        second = np.unique(np.flatnonzero(weight) % (a * a))
-        first = np.unique(second % a)
-        rows = 1 + len(first) + len(second) + len(third)
-        row1 = np.zeros(a, dtype=np.int32)
-        row1[first] = 1 + np.arange(len(first))
-        row2 = np.tile(row1, a)
-        row2[second] = 1 + len(first) + np.arange(len(second))
-        row3 = np.tile(row2, a)
-        row3[third] = 1 + len(first) + len(second) + np.arange(len(third))
-        self.row_of = row3
-        self.bits = np.zeros((rows, a, n_lang), dtype=np.int32)
-        for k, (s, c) in enumerate(counts):
-            p0 = np.full((1, a), 1.0 / 256)                      # order -1: any byte
-            n = np.zeros((1, a))
-            np.add.at(n[0], s[3], c)
-            p0 = _escape(n, p0)
-            p1 = _escape(_table(row1, 1, len(first), s[2], s[3], c, a), np.repeat(p0, len(first), axis=0))
-            p2 = _escape(_table(row2, 1 + len(first), len(second), s[1] * a + s[2], s[3], c, a), p1[row1[second % a] - 1])
-            from2 = row2[third % (a * a)] - 1 - len(first)
-            p3 = _escape(_table(row3, 1 + len(first) + len(second), len(third), (s[0] * a + s[1]) * a + s[2], s[3], c, a),
-                         p2[from2])
-            p = np.concatenate([p0, p1, p2, p3])
-            self.bits[:, :, k] = np.minimum(np.round(-np.log2(p) * UNIT), 64 * UNIT)
-        self.bits = self.bits.reshape(rows * a, n_lang)
+        used = np.unique(np.concatenate([np.unique((runs[x][0] >> k) & 255) for x in self.langs for k in (24, 16, 8, 0)])) \
+            if self.langs else np.array([32])
+        # one more symbol stands for every byte never seen in training
+        self.trees = [_tree(*runs[x], len(used) + 1) for x in self.langs]
 
     def lengths(self, sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code length (1/1024 bit) per document and language, and the number of coded bytes."""
-        n_docs, a = len(offsets) - 1, self.n_symbols
+        n_docs = len(offsets) - 1
         total = np.zeros((n_docs, len(self.langs)), dtype=np.int64)
         size = np.diff(offsets) - ORDER
-        if len(sym) > ORDER:
-            s = self.symbol[sym]
-            at = self.row_of[(s[:-3] * a + s[1:-2]) * a + s[2:-1]] * np.int64(a) + s[3:]
-            full = np.flatnonzero(size > 0)
-            if len(full):
-                # runs that cross into the next document lie between the ranges that are summed
-                bounds = np.stack([offsets[full], np.minimum(offsets[full + 1] - ORDER, len(at))], axis=1).ravel()
-                last = bounds[-1] == len(at)
-                cost = self.bits[at]
-                for k in range(len(self.langs)):
-                    sums = np.add.reduceat(cost[:, k].astype(np.int64), bounds[:-1] if last else bounds)
-                    total[full, k] = sums[::2]
+        full = np.flatnonzero(size > 0)
+        if len(full):
+            code, at = np.unique(_codes(sym), return_inverse=True)
+            # runs that cross into the next document lie between the ranges that are summed
+            bounds = np.stack([offsets[full], np.minimum(offsets[full + 1] - ORDER, len(at))], axis=1).ravel()
+            last = bounds[-1] == len(at)
+            for k, tree in enumerate(self.trees):
+                sums = np.add.reduceat(_bits(tree, code)[at], bounds[:-1] if last else bounds)
+                total[full, k] = sums[::2]
         return total, size
 
 
-def _table(row_of, base, n, context, symbol, c, a) -> np.ndarray:
-    out = np.zeros((n, a))
-    row = row_of[context] - base
-    ok = (row >= 0) & (row < n)
-    np.add.at(out, (row[ok], symbol[ok]), c[ok])
+def _tree(code: np.ndarray, c: np.ndarray, n_symbols: int) -> list[tuple[np.ndarray, ...]]:
+    """(runs, their bits, contexts, bits of their escapes) of order 0 to ORDER: method C with exclusion.
+
+    Seen symbols go by count; the escape mass is spread as the lower order does over the
+    symbols not seen. What a context has seen its suffix has seen too, and the lower
+    order sums to 1, so the mass it leaves is 1 less that of the seen symbols.
+    """
+    out, below, p = [], None, None
+    for k in range(ORDER + 1):
+        run, at = np.unique(code & _MASK[k], return_inverse=True)
+        n = np.bincount(at, weights=c)
+        context, own = np.unique(run >> np.uint32(8), return_inverse=True)
+        distinct = np.bincount(own)
+        den = np.bincount(own, weights=n) + distinct
+        if k == 0:
+            left = (n_symbols - distinct) / 256                  # order -1: any byte
+        else:
+            left = 1 - np.bincount(own, weights=p[np.searchsorted(below, run & _MASK[k - 1])])
+        escape = distinct / den / np.maximum(left, 1e-12)
+        below, p = run, n / den[own]
+        out.append((run, -np.log2(p), context, -np.log2(escape)))
     return out
 
 
-def _escape(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Method C with exclusion: seen symbols by count, the escape mass spread as the lower order does."""
-    total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    rest = np.where(n > 0, 0.0, lower)
-    left = np.maximum(rest.sum(axis=1, keepdims=True), 1e-12)
-    den = np.maximum(total + distinct, 1)
-    return np.where(total > 0, np.where(n > 0, n / den, distinct / den * rest / left), lower) + 1e-18
+def _bits(tree: list[tuple[np.ndarray, ...]], code: np.ndarray) -> np.ndarray:
+    """Code lengths (1/1024 bit) of runs in one language."""
+    out, left = np.zeros(len(code)), np.arange(len(code))
+    for k in range(ORDER, -1, -1):
+        run, bits, context, escape = tree[k]
+        x = code[left] & _MASK[k]
+        i = np.minimum(np.searchsorted(run, x), len(run) - 1)
+        seen = run[i] == x
+        out[left[seen]] += bits[i[seen]]
+        left, x = left[~seen], x[~seen] >> np.uint32(8)
+        i = np.minimum(np.searchsorted(context, x), len(context) - 1)
+        known = context[i] == x
+        out[left[known]] += escape[i[known]]
+    out[left] += 8                                               # order -1: any byte
+    return np.round(out * UNIT).astype(np.int64)
 
 
 def held_out(doc_id):
@@ -196,14 +181,10 @@ def fit(docs: DataFrame) -> Model:
     runs = (bound_batches(training).select("lang", "text").mapInArrow(_count_task, "lang string, run long, c long")
             .groupBy("lang", "run").agg(F.sum("c").alias("c")))
     runs = materialize(runs, "ppm-runs")
-    sizes = {r.lang: r.n for r in runs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     model: dict = {}
-    for lang in sorted(sizes):
-        own = runs.where(F.col("lang") == lang).select("run", "c")
-        if sizes[lang] > MAX_RUNS:
-            own = own.orderBy(F.desc("c"), "run").limit(MAX_RUNS)
-        t = own.toArrow()
-        model[lang] = (t.column("run").to_numpy().astype(np.uint32), t.column("c").to_numpy())
+    for r in runs.select("lang").distinct().collect():
+        t = runs.where(F.col("lang") == r.lang).select("run", "c").toArrow()
+        model[r.lang] = (t.column("run").to_numpy().astype(np.uint32), t.column("c").to_numpy())
     return Model(model)
 
 
@@ -240,7 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = bound_batches(docs.drop("lang_pred", "score"))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)     # MODEL_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)     # about 12 bytes per distinct run
     return docs.mapInArrow(_predict_task(shared, docs.columns.index("text")), schema)
 
 

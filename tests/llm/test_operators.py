@@ -158,6 +158,39 @@ def test_language_code_lengths_against_plain_ppm():
         assert abs(int(got[0, k]) - bits) <= len(probe)
 
 
+def test_language_keeps_every_context_of_a_large_alphabet():
+    """200 symbols, 10 languages: more contexts than a table of all symbols per context could hold in 40 MB."""
+    rng = np.random.default_rng(3)
+    counts, seen, used = {}, {}, set()
+    for lang in (f"l{i}" for i in range(10)):
+        s = b"   " + bytes(rng.integers(56, 256, 1500, dtype=np.uint8)) * 2
+        n = seen[lang] = {}
+        for i in range(3, len(s)):
+            used |= set(s[i - 3:i + 1])
+            for k in range(4):
+                own = n.setdefault(s[i - k:i], {})
+                own[s[i]] = own.get(s[i], 0) + 1
+        runs = [(int.from_bytes(x + bytes([y]), "big"), c) for x, d in n.items() if len(x) == 3 for y, c in d.items()]
+        counts[lang] = (np.array([r for r, _ in runs], dtype=np.uint32), np.array([c for _, c in runs]))
+    probe = s[3:200] + bytes(rng.integers(0, 256, 100, dtype=np.uint8))
+
+    def distribution(n, context):
+        lower = distribution(n, context[1:]) if context else dict.fromkeys([*used, None], 1 / 256)
+        d = n.get(context)
+        if not d:
+            return lower
+        den, rest = sum(d.values()) + len(d), sum(p for x, p in lower.items() if x not in d)
+        return {x: d[x] / den if x in d else len(d) / den * p / rest for x, p in lower.items()}
+
+    model = language.Model(counts)
+    sym, offsets = language._symbols(np.frombuffer(probe, dtype=np.uint8), np.array([0, len(probe)]))
+    got, _ = model.lengths(sym, offsets)
+    s = bytes(sym)
+    for k, lang in enumerate(model.langs):
+        bits = sum(-np.log2(distribution(seen[lang], s[i - 3:i])[s[i] if s[i] in used else None]) for i in range(3, len(s)))
+        assert abs(got[0, k] / language.UNIT - bits) <= len(s) / language.UNIT, lang
+
+
 # --- near copies -----------------------------------------------------------
 
 def test_near_classes_against_brute_force(spark, tmp_path):

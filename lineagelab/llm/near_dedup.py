@@ -14,9 +14,10 @@
    be similar: shingles are ordered by rarity, and a pair at 0.8 must share one of the
    rarest shingles that make up a fifth of each one's weight. A near copy with more
    than a fifth of changed weight thus meets nobody, however large its family. Pairs of
-   one class and pairs whose sketches agree in fewer than ``AGREE`` of 48 samples (a pair
-   at 0.8 has 38 on average and falls below with probability 0.004) are left out; every
-   other pair is made once, verified, and the classes merged again.
+   one class are left out, and pairs that a bound shows to be less similar: the weights of
+   both texts from their first common shingle on, and the sum of the smaller weights over
+   ``SPREAD`` hashed parts of both texts, are at least the common weight. Every other pair
+   is made once, verified, and the classes merged again. No similar pair of this round is lost.
 
 IDF is 1 + IDF_SHARE * ln(min(N / df, 1000)) / ln(1000): from 1 for a shingle in every
 document to 1.5 for one in a thousandth of them or fewer. The clip makes it alike
@@ -44,7 +45,7 @@ from .components import merge_classes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-AGREE = 31
+SPREAD = 64
 DF_BUCKETS = 1 << 20
 IDF_SHARE, IDF_CLIP = 0.5, 1000.0
 LEVELS = 16
@@ -178,13 +179,13 @@ class Sampler:
 
 
 def _sketch_task(shared):
-    """(rid, text) -> (rid, total weight, band keys, samples packed as 16-bit lanes)."""
+    """(rid, text) -> (rid, total weight, band keys, weight of each of SPREAD hashed parts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, sampler = shared.value, Sampler()
         for batch in batches:
             total = np.zeros(batch.num_rows)
             bands = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
-            packed = np.zeros((batch.num_rows, sampler.k // 4), dtype=np.uint64)
+            spread = np.zeros((batch.num_rows, SPREAD))
             some = np.zeros(batch.num_rows, dtype=bool)
             for lo, _, words in textscan.scan(batch.column(1)):
                 doc, h, tf = _shingles(words)
@@ -192,22 +193,23 @@ def _sketch_task(shared):
                 rows, s = sampler.sketch(doc, h, tf, level)
                 rows = rows + lo
                 some[rows] = True
-                np.add.at(total, doc + lo, weights(tf, level))
+                w, n = weights(tf, level), len(words.counts)
+                total[lo:lo + n] = np.bincount(doc, weights=w, minlength=n)
+                part = (h >> np.uint64(20)).astype(np.int64) % SPREAD
+                spread[lo:lo + n] = np.bincount(doc * SPREAD + part, weights=w, minlength=n * SPREAD).reshape(n, SPREAD)
                 s = textscan.mix(s)
                 for b in range(BANDS):
                     key = np.full(len(rows), np.uint64(b + 1))
                     for j in range(ROWS):
                         key = textscan.mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, b * ROWS + j])
                     bands[rows, b] = key
-                lanes = (s & np.uint64(0xFFFF)).reshape(len(rows), -1, 4)
-                packed[rows] = (lanes << (np.arange(4, dtype=np.uint64) * np.uint64(16))).sum(axis=2, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), _lists(bands), _lists(packed)],
-                                             names=["rid", "total", "bands", "packed"]).filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), _lists(bands.view(np.int64)), _lists(spread.astype(np.float32))],
+                                             names=["rid", "total", "bands", "spread"]).filter(pa.array(some))
     return run
 
 
 def _lists(m: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
 def _verify_task(shared, similarity: float):
@@ -266,18 +268,20 @@ def _weight_task(shared):
     return run
 
 
-def _agreement(a: str, b: str) -> Column:
-    """How many of the 48 packed 16-bit samples of two sketches agree."""
-    n = F.lit(0)
-    for i in range(BANDS * ROWS // 4):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for j in range(4):
-            n = n + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
-    return n
+def _common_most(a: str, b: str) -> Column:
+    """Upper bound of the common weight: the smaller weight of each hashed part, summed."""
+    return sum((F.least(F.col(a)[i], F.col(b)[i]).cast("double") for i in range(1, SPREAD)),
+               F.least(F.col(a)[0], F.col(b)[0]).cast("double"))
 
 
 def _prefix_pairs(texts: DataFrame, sketches: DataFrame, labels: DataFrame, shared, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes that the prefixes (exact) and the sketch agreement (a pair at 0.8: 0.996) leave."""
+    """Pairs (a, b) of different classes that the prefixes and the bounds leave: no similar pair is missing.
+
+    The common weight of a similar pair is at least ``need`` of the sum of both totals. So the
+    lighter text has its first common shingle before (1 - s) / (1 + s) of its weight, the
+    heavier one before 1 - s.
+    """
+    need = similarity / (1 + similarity) - 1e-6
     shingles = texts.mapInArrow(_weight_task(shared), "rid long, h long, w double, total double")
     shingles = materialize(shingles, "near-shingles")
     common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -286,18 +290,20 @@ def _prefix_pairs(texts: DataFrame, sketches: DataFrame, labels: DataFrame, shar
     ranked = Window.partitionBy("rid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
     cut = (own.withColumn("before", F.coalesce(F.sum("w").over(ranked), F.lit(0.0)))
            .where((F.col("df") > 1) & (F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total"))))
-    prefix = (cut.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("p"))       # a fifth of one text
-              .select("rid", F.col("p.h").alias("p"))
-              .join(sketches.select("rid", "total", "packed"), "rid")
+    prefix = (cut.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("df", "h", "before"))).alias("p"))    # a fifth of one text
+              .select("rid", F.col("p.h").alias("p"), F.col("p.before").alias("before"))
+              .join(sketches.select("rid", "total", "spread"), "rid")
               .join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")))
-    prefix = materialize(prefix, "near-prefix").select("rid", "total", "packed", "label", "p", F.posexplode("p").alias("at", "h"))
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = (materialize(prefix, "near-prefix").select("rid", "total", "spread", "label", "p", "before", F.posexplode("p").alias("at", "h"))
+              .withColumn("rest", F.col("total") - F.col("before")[F.col("at")]).drop("before"))
+    x, y = prefix.where(F.col("rest") >= F.lit(2 * need) * F.col("total")).alias("x"), prefix.alias("y")
+    lighter = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.rid") < F.col("y.rid")))
+    least = F.lit(need) * (F.col("x.total") + F.col("y.total"))
     # made at the first shingle that both prefixes have, so once
     first = ~F.arrays_overlap(F.slice("x.p", F.lit(1), F.col("x.at")), F.slice("y.p", F.lit(1), F.col("y.at")))
-    return (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label"))
-                   & (F.least("x.total", "y.total") >= F.lit(similarity - 1e-6) * F.greatest("x.total", "y.total"))
-                   & (_agreement("x.packed", "y.packed") >= AGREE) & first)
-            .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")))
+    return (x.join(y, (F.col("x.h") == F.col("y.h")) & lighter & (F.col("x.label") != F.col("y.label"))
+                   & (F.least("x.rest", "y.rest") >= least) & (_common_most("x.spread", "y.spread") >= least) & first)
+            .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -312,7 +318,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .otherwise(F.sha2("text", 256))
     members = materialize(docs.select("rid", digest.alias("digest")), "near-members")
     reps = members.groupBy("digest").agg(F.min("rid").alias("copy_rid"))
-    sketches = docs.mapInArrow(_sketch_task(shared), "rid long, total double, bands array<long>, packed array<long>")
+    sketches = docs.mapInArrow(_sketch_task(shared), "rid long, total double, bands array<long>, spread array<float>")
     # one sketch per distinct text
     sketches = materialize(sketches.join(reps.select(F.col("copy_rid").alias("rid")), "rid", "left_semi"), "near-sketches")
     banded = sketches.select("rid", "total", F.posexplode("bands").alias("band", "key"))

@@ -6,12 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineagelab.llm import (components, decontaminate, fingerprints, host_reputation, language, licenses, line_dedup, mixing,
-                            near_dedup, sharding, token_counts)
+                            near_dedup, sharding, textscan, token_counts)
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -216,6 +217,44 @@ def test_near_classes_against_brute_force(spark, tmp_path):
             assert got[a] != got[b] or s > 0, (a, b, s)
 
 
+def test_near_classes_are_exact_inside_one_large_bucket(spark, tmp_path, monkeypatch):
+    """All texts meet in one bucket and agree in no other sample: round two has to find every similar pair."""
+    class OneBucket:
+        k = near_dedup.BANDS * near_dedup.ROWS
+
+        def sketch(self, doc, h, tf, level):
+            begin = np.unique(doc, return_index=True)[1]
+            out = np.minimum.reduceat(h, begin)[:, None] * np.arange(1, 2 * self.k, 2, dtype=np.uint64)
+            out[:, :near_dedup.ROWS] = 1
+            return doc[begin], out
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(12):
+        base = [f"v{i}" for i in rng.integers(0, 3000, 100)]
+        for _ in range(12):
+            own = base[int(rng.integers(0, 8)):]
+            for at in rng.integers(0, len(own), int(rng.integers(0, 4))):
+                own[at] = f"v{int(rng.integers(0, 3000))}"
+            rows.append((len(rows), " ".join(own)))
+    docs = written(spark, tmp_path, rows, "doc_id long, text string")
+    levels = near_dedup.idf_levels(docs)
+    [(_, _, cut)] = textscan.scan(pa.array([t for _, t in rows]))
+    doc, h, tf = near_dedup._shingles(cut)
+    sets = [dict(zip(h[doc == i], near_dedup.weights(tf[doc == i], levels[near_dedup._bucket(h[doc == i])]))) for i, _ in rows]
+    label = list(range(len(rows)))
+    n_links = 0
+    for a, b in itertools.combinations(label[:], 2):
+        common = sum(min(w, sets[b][x]) for x, w in sets[a].items() if x in sets[b])
+        if common >= near_dedup.SIMILARITY * (sum(sets[a].values()) + sum(sets[b].values()) - common) - 1e-9:
+            n_links += 1
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    assert n_links > 100 and 12 < len(set(label)) < len(rows)
+    monkeypatch.setattr(near_dedup, "Sampler", OneBucket)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(label))
+
+
 def test_near_classes_of_edges(edge, empty):
     rows = near_dedup.near_classes(edge).collect()
     assert len(rows) == edge.count() and sum(r.kept for r in rows) == len({r.class_id if r.class_size > 1 else (r.doc_id, r.class_id) for r in rows})

@@ -23,8 +23,10 @@ from ..operators.pairs import knn_candidates, threshold_edges
 from ..operators import profile as P
 from ..params import DEFAULTS, Params
 from ..session import materialize
+from ..sources.store import save_csv
 from . import serving as SV
 from . import summary as SM
+from .assignments import cluster_assignments
 from .fingerprint import fingerprints
 
 
@@ -114,6 +116,17 @@ def run_all(spark: SparkSession, abundance: DataFrame, samples: DataFrame, raw_m
     edges = step("network", lambda: save("edges", threshold_edges(vec, thr, block_rows=params.similarity.block_rows)))
     out.update(neighbours=knn, edges=edges)
 
+    table = step("assignments", lambda: save("cluster_assignments", cluster_assignments(
+        fp, meta, knn, params.similarity.table_neighbors)))
+    out["cluster_assignments"] = table
+
+    def csv():                                                   # result files (A9)
+        for name, df in (("fingerprints", fp), ("cluster_assignments", table),
+                         ("embeddings", atlas.join(reduced, "sample_key")), ("evaluation", evaluation),
+                         ("feature_importances", importances)):
+            save_csv(df, os.path.join(output_dir, "csv", name))
+    step("csv", csv)
+
     # 10 serving tables (A12) + checks (K1–K4)
     tables = SV.build_serving_tables(meta, fp, out["atlas"], clusters, importances, edges, thr)
     step("serving_tables", lambda: SV.write_serving_tables(tables, os.path.join(output_dir, "serving")))

@@ -7,4 +7,5 @@ from . import q_serving  # noqa: F401
 from . import q_scoring  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_sources  # noqa: F401
+from . import q_assignments  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -1,0 +1,28 @@
+"""Assignments table (I6) and CSV results (A9) of the batch run."""
+
+import json
+import tempfile
+
+from lineagelab.plans.batch_run import run_all
+from lineagelab.sources import fixtures
+
+from conftest import SF_SMALL
+
+
+def test_batch_run_writes_assignments_and_csv(spark):
+    out_dir = tempfile.mkdtemp(prefix="lineagelab-run-")
+    _, out = run_all(spark, fixtures.abundance_long(spark, SF_SMALL), fixtures.samples(spark, SF_SMALL),
+                     fixtures.metadata_raw(spark, SF_SMALL), out_dir, threshold=0.3)
+    n = fixtures.samples(spark, SF_SMALL).count()
+    table = out["cluster_assignments"]
+    assert {"cluster_id", "atlas_x", "disease", "bmi", "neighbor_1_key", "neighbor_3_cosine"} <= set(table.columns)
+    assert table.count() == n and table.where("neighbor_3_key IS NULL OR neighbor_1_key = sample_key").count() == 0
+    first = {r.sample_key: r.neighbor_key for r in out["neighbours"].where("rank = 1").collect()}
+    assert {r.sample_key: r.neighbor_1_key for r in table.collect()} == first
+    read = spark.read.option("header", True).option("escape", '"')
+    for name in ("fingerprints", "cluster_assignments", "evaluation", "feature_importances"):
+        assert read.csv(f"{out_dir}/csv/{name}").count() == spark.read.parquet(f"{out_dir}/{name}").count()
+    assert read.csv(f"{out_dir}/csv/embeddings").count() == n
+    nested = {r.sample_key: r.dominant_microbes for r in out["fingerprints"].collect()}
+    for r in read.csv(f"{out_dir}/csv/fingerprints").collect():
+        assert [x["name"] for x in json.loads(r.dominant_microbes)] == [x["name"] for x in nested[int(r.sample_key)]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, host_reputation, language, licenses, line_dedup, mixing, near_dedup, sharding,
+from . import (collocations, decontaminate, fingerprints, host_reputation, language, licenses, line_dedup, mixing, near_dedup, sharding,
                token_counts)
 from .common import read
 
@@ -54,6 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,4 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_url_filter, op3_license_scan, op4_fingerprints, op5_language_id, op6_source_mixing,
-    op7_near_dedup, op8_decontamination, op9_token_counts, op10_sharding, pipeline)}
+    op7_near_dedup, op8_decontamination, op9_token_counts, op10_sharding, op11_collocations,
+    pipeline)}

@@ -106,3 +106,36 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
   CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS BIGINT) AS hilbert
 FROM placed
 """
+
+
+def _collocations(longest: int = 4, min_count: int = 30, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {m} AS len, array_to_string(list_slice(w, i, i + {m - 1}), ' ') AS phrase "
+        f"FROM pieces, unnest(range(1, len(w) - {m} + 2)) AS t(i) WHERE len(w) >= {m}" for m in range(1, longest + 1))
+    return f"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array({_LOW.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, len, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM ({grams}) GROUP BY ALL HAVING count(*) >= {min_count}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r,
+         CAST((2000000 * CAST(c.f AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len)) AS k FROM f WHERE len > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.len), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT DISTINCT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, unnest(list_transform(range(1, len - m + 2), lambda s: array_to_string(list_slice(w, s, s + m - 1), ' '))) AS phrase
+    FROM f, unnest(range(2, len)) AS t(m) WHERE len > 2) GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+       phrase, a, l, r, n, score
+FROM best JOIN sizes USING (lang) LEFT JOIN held USING (lang, phrase)
+WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * a
+QUALIFY rank <= {top}
+"""
+
+
+SQL["op11_collocations"] = _collocations()

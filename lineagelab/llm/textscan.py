@@ -77,6 +77,16 @@ def raw_bytes(texts: pa.LargeStringArray, lo: int, hi: int) -> tuple[np.ndarray,
     return buf, off - off[0]
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of the bytes of every string of a (small) array."""
+    texts = strings.cast(pa.large_string())
+    buf, off = raw_bytes(texts, 0, len(texts))
+    up, down = _powers(len(buf) + 1)
+    acc = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[buf] * up[:len(buf)], out=acc[1:])
+    return mix((acc[off[1:]] - acc[off[:-1]]) * down[off[:-1]] + (off[1:] - off[:-1]).astype(np.uint64))
+
+
 class Words:
     """Words of a slice of documents: byte starts / ends, 64-bit hashes, words per document."""
 

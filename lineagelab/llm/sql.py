@@ -139,3 +139,21 @@ QUALIFY rank <= {top}
 
 
 SQL["op11_collocations"] = _collocations()
+
+
+_CONTROL = r"'[<\[]\\*/?(?:s>|INST\]|ROLE\])'"
+
+SQL["op13_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, {_CONTROL})) AS body,
+         length(role) + len(regexp_extract_all(role, {_CONTROL})) AS named FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 21 + named END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

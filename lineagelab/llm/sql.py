@@ -157,3 +157,25 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(3 + sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 21 + named END) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
 """
+
+
+SQL["op12_hard_negatives"] = """
+WITH x AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM x a JOIN x b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT rid, anchor_id, other AS p_rid, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.rid, p.p_rid ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""

@@ -3,22 +3,22 @@
 Everything is per language (null: ``und``). Text is lower-cased (A-Z), split at
 ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at blanks and tabs into words.
 
-1. A task turns its texts into blocks of about ``BLOCK_BYTES`` of words of one language:
-   the distinct words (exact, dictionary-encoded) and one id per position, with a
-   break between pieces. Ids are ranks by frequency within the block.
+1. A task turns its texts into blocks of about ``BLOCK_WORDS`` words of one language: the
+   distinct words (exact, dictionary-encoded) and one id per position, with a break
+   between pieces. Ids are ranks by frequency within the block. Blocks are written once.
 2. Pairs of neighbouring ids fall into tiles of ``TILE`` x ``TILE`` ranks. Full tiles (both
    words frequent) are counted by one dense ``bincount``, addressed by the ids themselves;
    the others as sorted COO keys. Either way a pair gets an exact id.
 3. Counts leave the block as (lang, phrase, count) and are summed by phrase, so no
    hash stands for a phrase anywhere in the result.
 4. Phrases found ``MIN_COUNT`` times or more are marked in a bitmap of fixed size
-   (``FILTER_BITS``, broadcast). The next level drops ids outside it, ranks the rest by
-   frequency again, and counts (phrase id, word id) pairs in the same tiles: pairs of
-   words, then triples, then runs of four. A false mark only costs time: the sum decides.
+   (``FILTER_BITS``, broadcast). The next level keeps only positions where a marked phrase
+   starts, ranks their pairs by frequency again, and counts (phrase id, word id) pairs in the same
+   tiles: pairs of words, then triples, then runs of four. A false mark only costs time: the sum decides.
 
-Memory: one block per task and language in work, the bitmap, and tiles in groups of
-``TILES_AT_ONCE``. Blocks are written once per level; nothing grows on the driver but
-the bitmap (16 MB at most, whatever the corpus).
+Memory: one block per task in work and as much again still open, the bitmap, and tiles in
+groups of ``TILES_AT_ONCE``. Nothing grows on the driver but the bitmap (16 MB at most,
+whatever the corpus).
 
 Score of a phrase (f = all its occurrences, a = its f): over the cuts after the first k
 words, the lowest ``floor(SCALE * a / (f(first) + f(rest)))``, ties to the smallest k.
@@ -49,7 +49,7 @@ SCALE = 2_000_000
 INSIDE_PERCENT = 80
 TOP = 2000
 
-BLOCK_BYTES = 3 << 20
+BLOCK_WORDS = 1 << 20
 TILE = 256
 DENSE_PAIRS = TILE * TILE // 16
 TILES_AT_ONCE = 32
@@ -62,12 +62,11 @@ _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = 1
 _CLASS[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-_FIELDS = [("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()),
-           ("words", pa.large_string()), ("word_hash", pa.large_binary()), ("word_ids", pa.large_binary()),
-           ("phrases", pa.large_string()), ("phrase_hash", pa.large_binary()), ("phrase_ids", pa.large_binary())]
-_ARROW = pa.schema(_FIELDS)
-_SPARK = ("lang string, phrase string, hash long, n long, words string, word_hash binary, word_ids binary, "
-          "phrases string, phrase_hash binary, phrase_ids binary")
+_FIELDS = [("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("words", pa.large_string()), ("word_ids", pa.large_binary())]
+_BLOCKS = pa.schema(_FIELDS)
+_BLOCKS_SPARK = "lang string, phrase string, n long, words string, word_ids binary"
+_COUNTS = pa.schema(_FIELDS[:3])
+_COUNTS_SPARK = "lang string, phrase string, n long"
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -89,13 +88,11 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(values)), piece
 
 
-def _rank(ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept ids from the most frequent on, and every position's rank among them (-1: break or not kept)."""
-    counts = np.bincount(ids[ids >= 0], minlength=len(keep))
-    order = np.argsort(-counts, kind="stable")
-    order = order[keep[order] & (counts[order] > 0)]
-    ranks = np.full(len(keep) + 1, -1, dtype=np.int32)           # the last one answers -1
-    ranks[order] = np.arange(len(order), dtype=np.int32)
+def _rank(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` ids from the most frequent on, and every position's rank (-1 stays)."""
+    order = np.argsort(-np.bincount(ids[ids >= 0], minlength=n), kind="stable")
+    ranks = np.full(n + 1, -1, dtype=np.int32)                   # the last one answers -1
+    ranks[order] = np.arange(n, dtype=np.int32)
     return order, ranks[ids]
 
 
@@ -126,29 +123,17 @@ def pair_ids(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) ->
     return *(np.concatenate([f[i] for f in found]) for i in range(3)), which
 
 
-def _count_rows(lang: str, phrases: pa.Array, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _count_rows(lang: str, phrases: pa.Array, counts: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(phrases), _ROWS):
-        part = phrases.slice(lo, _ROWS)
+        part = phrases.slice(lo, _ROWS).cast(pa.string())
         k = len(part)
-        none = [pa.nulls(k, t) for _, t in _FIELDS[4:]]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), part.cast(pa.string()),
-                                          pa.array(hashes[lo:lo + k].view(np.int64)),
-                                          pa.array(counts[lo:lo + k].astype(np.int64)), *none], schema=_ARROW)
-
-
-def _block_row(lang: str, words: pa.Array, word_hash, word_ids, phrases: pa.Array, phrase_hash, phrase_ids) -> pa.RecordBatch:
-    """A block as one row; neither words nor phrases can hold a line feed."""
-    text = ["\n".join(x.to_pylist()) for x in (words, phrases)]
-    values = [lang, None, None, None, text[0], word_hash.tobytes(), word_ids.tobytes(), text[1], phrase_hash.tobytes(), phrase_ids.tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, _FIELDS)], schema=_ARROW)
-
-
-def _list(joined: str) -> pa.Array:
-    return pa.array(joined.split("\n") if joined else [], pa.string())
+        none = [pa.nulls(k, t) for t in schema.types[3:]]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), part,
+                                          pa.array(counts[lo:lo + k].astype(np.int64)), *none], schema=schema)
 
 
 def _close_block(lang: str, parts: list) -> Iterator[pa.RecordBatch]:
-    """Words of one language, coded and counted."""
+    """Words of one language, coded and counted; the block itself is a last row."""
     coded = pa.chunked_array([w for w, _ in parts]).dictionary_encode().unify_dictionaries()
     distinct = coded.chunk(0).dictionary
     codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int32)
@@ -160,12 +145,11 @@ def _close_block(lang: str, parts: list) -> Iterator[pa.RecordBatch]:
     gaps = np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
     ids = np.full(len(codes) + int(gaps[-1]), -1, dtype=np.int32)
     ids[np.arange(len(codes)) + gaps] = codes
-    order, ids = _rank(ids, np.ones(len(distinct), dtype=bool))
+    order, ids = _rank(ids, len(distinct))
     words = distinct.take(pa.array(order))
-    seed = textscan.string_hashes(pa.array([lang], pa.string()))[0]
-    hashes = textscan.mix(textscan.string_hashes(words) + seed)
-    yield from _count_rows(lang, words, hashes, np.bincount(ids[ids >= 0], minlength=len(words)))
-    yield _block_row(lang, words, hashes, ids, words, hashes, ids)
+    yield from _count_rows(lang, words, np.bincount(ids[ids >= 0], minlength=len(words)), _BLOCKS)
+    values = [lang, None, None, "\n".join(words.to_pylist()), ids.tobytes()]      # no word holds a line feed
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _BLOCKS.types)], schema=_BLOCKS)
 
 
 def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +163,8 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, piece = _words(*textscan.raw_bytes(texts, lo, hi))
                 if len(words):
                     open_blocks[lang].append((words, piece))
-                    size[lang] += words.nbytes + piece.nbytes // 2
-                if size[lang] >= BLOCK_BYTES or sum(size.values()) >= 4 * BLOCK_BYTES:
+                    size[lang] += len(words)
+                if size[lang] >= BLOCK_WORDS or sum(size.values()) >= 2 * BLOCK_WORDS:
                     most = max(size, key=size.get)
                     yield from _close_block(most, open_blocks.pop(most))
                     del size[most]
@@ -189,54 +173,77 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _close_block(lang, parts)
 
 
+def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    return textscan.mix(textscan.string_hashes(words) + textscan.string_hashes(pa.array([lang], pa.string()))[0])
+
+
+def _longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return textscan.mix(phrase * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _is_marked(marked: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (marked[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def count_longer(lang: str, words: pa.Array, ids: np.ndarray, length: int, marked: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of ``length`` words of a block whose two parts of ``length`` - 1 words are marked, and their counts."""
+    of_word = np.append(_word_hashes(lang, words), np.uint64(0))[ids]
+    n = len(ids)
+    whole, hashes = ids >= 0, of_word                            # does a phrase of k words start here, and its hash
+    for k in range(1, length - 1):
+        hashes = _longer_hash(hashes[:n - k], of_word[k:])
+        whole = whole[:n - k] & (ids[k:] >= 0)
+    marks = np.zeros(n + 1, dtype=bool)
+    marks[:len(whole)] = whole
+    hit = np.flatnonzero(whole)
+    marks[hit] = _is_marked(marked, hashes[hit])
+    starts = np.flatnonzero(marks[:-1] & marks[1:])
+    if not len(starts):
+        return
+    phrases, now, rank = words, ids[starts], None
+    for k in range(1, length):                                   # pairs, then pairs ranked anew with the next word
+        if rank is not None:
+            order, now = _rank(rank, len(phrases))
+            phrases = phrases.take(pa.array(order))
+        left, right, counts, rank = pair_ids(now, ids[starts + k], len(phrases), len(words))
+        phrases = pc.binary_join_element_wise(phrases.take(pa.array(left)), words.take(pa.array(right)), " ")
+    yield phrases, counts
+
+
 def _grow(length: int, bits: bytes):
-    """Blocks of phrases of ``length`` - 1 words to blocks of ``length`` words, with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(bits, dtype=np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
-                lang = row["lang"]
-                word_hash = np.frombuffer(row["word_hash"], dtype=np.uint64)
-                word_ids = np.frombuffer(row["word_ids"], dtype=np.int32)
-                words, keep = _list(row["words"]), np.ones(len(word_hash), dtype=bool)
-                if length == 2:                                  # later blocks hold frequent words only
-                    keep = _is_marked(marked, word_hash)
-                order, word_ids = _rank(word_ids, keep)
-                words, word_hash = words.take(pa.array(order)), word_hash[order]
-                if length == 2:
-                    phrases, phrase_hash, phrase_ids = words, word_hash, word_ids
-                else:
-                    phrase_hash = np.frombuffer(row["phrase_hash"], dtype=np.uint64)
-                    order, phrase_ids = _rank(np.frombuffer(row["phrase_ids"], dtype=np.int32), _is_marked(marked, phrase_hash))
-                    phrases, phrase_hash = _list(row["phrases"]).take(pa.array(order)), phrase_hash[order]
-                del row
-                last = length - 1
-                n = max(len(word_ids) - last, 0)
-                # both parts of length - 1 words are frequent, or the whole cannot be
-                starts = np.flatnonzero((phrase_ids[:n] >= 0) & (phrase_ids[1:n + 1] >= 0) & (word_ids[last:last + n] >= 0))
-                if not len(starts):
-                    continue
-                left, right, counts, which = pair_ids(phrase_ids[starts], word_ids[starts + last], len(phrases), len(words))
-                grown = pc.binary_join_element_wise(phrases.take(pa.array(left)), words.take(pa.array(right)), " ")
-                hashes = textscan.mix(phrase_hash[left] * np.uint64(0x9E3779B97F4A7C15) + word_hash[right] + np.uint64(length))
-                yield from _count_rows(lang, grown, hashes, counts)
-                if length < LONGEST:
-                    ids = np.full(len(word_ids), -1, dtype=np.int32)
-                    ids[starts] = which
-                    yield _block_row(lang, words, word_hash, word_ids, grown, hashes, ids)
+            for lang, joined, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "word_ids"))):
+                words = pa.array(joined.split("\n"), pa.string())
+                for phrases, counts in count_longer(lang, words, np.frombuffer(ids, dtype=np.int32), length, marked):
+                    yield from _count_rows(lang, phrases, counts, _COUNTS)
     return run
 
 
-def _is_marked(marked: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - FILTER_BITS)
-    return (marked[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+def _places(length: int):
+    """(at, bits): the marks of a part of the frequent phrases."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang")
+            for lang in langs.unique().to_pylist():
+                phrases = batch.column("phrase").filter(pc.equal(langs, lang))
+                words = pc.split_pattern(phrases, " ").flatten()
+                of_word = _word_hashes(lang, words).reshape(-1, length)
+                hashes = of_word[:, 0]
+                for k in range(1, length):
+                    hashes = _longer_hash(hashes, of_word[:, k])
+                at = np.sort(hashes >> np.uint64(64 - FILTER_BITS))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] >> np.uint64(6) != at[:-1] >> np.uint64(6)]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array((at[first] >> np.uint64(6)).astype(np.int32)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+    return run
 
 
-def _bitmap(frequent: DataFrame) -> bytes:
-    """The places of the frequent phrases' hashes; 2^FILTER_BITS bits (16 MB), whatever the number of phrases."""
-    slot = f"shiftrightunsigned(hash, {64 - FILTER_BITS})"
-    rows = (frequent.groupBy(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("at"))
-            .agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias("bits")).toArrow())
+def _bitmap(frequent: DataFrame, length: int) -> bytes:
+    """The marks of the frequent phrases; 2^FILTER_BITS bits (16 MB), whatever the number of phrases."""
+    rows = frequent.select("lang", "phrase").mapInArrow(_places(length), "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out.tobytes()
@@ -247,20 +254,20 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     spark = docs.sparkSession
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     with arrow_batches(spark):
-        blocks = materialize(texts.mapInArrow(_word_blocks, _SPARK), "phrase-blocks")
-        sizes = blocks.where("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+        blocks = materialize(texts.mapInArrow(_word_blocks, _BLOCKS_SPARK), "word-blocks")
+        found = blocks.where("phrase is not null").select("lang", "phrase", "n")
+        sizes = materialize(found.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
         levels = []
         for length in range(1, longest + 1):
             if length > 1:
-                grown = blocks.where("phrase is null").mapInArrow(_grow(length, _bitmap(levels[-1])), _SPARK)
-                blocks = materialize(grown, "phrase-blocks")
-            sums = (blocks.where("phrase is not null").groupBy("lang", "phrase")
-                    .agg(F.sum("n").alias("f"), F.max("hash").alias("hash")).where(F.col("f") >= min_count))
-            levels.append(materialize(sums.select("lang", "phrase", F.lit(length).alias("length"), "f", "hash"), "phrase-counts"))
+                found = (blocks.where("phrase is null").select("lang", "words", "word_ids")
+                         .mapInArrow(_grow(length, _bitmap(levels[-1], length - 1)), _COUNTS_SPARK))
+            sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+            levels.append(materialize(sums.select("lang", "phrase", F.lit(length).alias("length"), "f"), "phrase-counts"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out.drop("hash"), materialize(sizes, "phrase-sizes")
+    return out, sizes
 
 
 def _part(words, start, length):

@@ -10,7 +10,7 @@ span, and no earlier span of its conversation can be trusted (``rewritten`` list
 constant closing tail that every output ends with is not history (it moves along and belongs
 to the last turn).
 
-``reach`` of a template says how many turns before the last one an added span can
+``reach`` of a template (1 or more) says how many turns before the last one an added span can
 depend on (besides being the first). Prefixes are then rendered over those turns only,
 which is linear in the conversation; ``None`` renders whole prefixes (quadratic), for
 templates that nothing is known about. With a reach a change beyond it is not seen.
@@ -136,7 +136,7 @@ def text_span(template: Template, context: list, role: str, text: str, before: s
 def render_turns(template: Template, turns: Iterator[tuple[str, str]], learned: tuple = LEARNED) -> Iterator[tuple]:
     """(role, start, end, piece, loss_start, loss_end, rewrites) of each turn of one conversation, as it comes."""
     context: list[tuple[str, str]] = []
-    before, end = template.render([]), 0
+    before, end = "", 0                                           # a header before the first turn belongs to it
     for role, text in turns:
         after = template.render([*context, (role, text)])
         lo, hi, rewrites = added(before, after)
@@ -149,11 +149,10 @@ def render_turns(template: Template, turns: Iterator[tuple[str, str]], learned:
                None if loss is None else base + loss[0] - lo, None if loss is None else base + loss[1] - lo, rewrites)
         end = base + len(piece)
         context.append((role, text))
-        if template.reach is not None:
-            context = context[len(context) - template.reach:] if template.reach else []
-            before = template.render(context) if context else after
-        else:
-            before = after
+        before = after
+        if template.reach is not None and len(context) > template.reach:
+            context = context[-template.reach:]
+            before = template.render(context)
 
 
 _TURNS = pa.schema([("conv_id", pa.int64()), ("pos", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()),

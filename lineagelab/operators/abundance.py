@@ -10,8 +10,11 @@ Sparse CLR (D retained features, ε the pseudocount, s = ln((x+ε)/ε), which is
 0 where x = 0):
     c_i     = −(Σ_j s_ij)/D
     clr_ij  = s_ij + c_i
-    mean_j  = Σ_i s_ij / n + Σ_i c_i / n
-    var_j   = (Σ_i (s_ij² + 2·s_ij·c_i) + Σ_i c_i²)/n − mean_j²   (population)
+
+Moments are merged from centred parts (count, mean, M2), never as mean square minus
+squared mean. The non-zero cells of a column have x = s + c. Its zero cells have
+x = c_i of the other samples: their part is that of all c less that of the non-zero
+cells' c, and is exactly empty or exactly zero where the column is full or c is 0.
 """
 
 from __future__ import annotations
@@ -100,6 +103,33 @@ def log_ratio(indexed: DataFrame, params: PreprocessParams) -> DataFrame:
     return indexed.select("sample_key", "feature_idx", s.alias("s"))
 
 
+def column_moments(s_long: DataFrame, sample_stats: DataFrame, features: DataFrame, n: int) -> DataFrame:
+    """(feature_idx, mean, std, constant) over all ``n`` samples, zero cells included (population std).
+
+    ``constant``: the variance is within the rounding of its own sum, n·ε·var + (n·ε·mean)²,
+    the bound a standard scaler uses; there is no other threshold.
+    """
+    nn = F.lit(float(n))
+    part = (s_long.join(sample_stats.select("sample_key", "c"), "sample_key").groupBy("feature_idx")
+            .agg(F.count("s").alias("k"), F.avg(F.col("s") + F.col("c")).alias("m"), F.var_pop(F.col("s") + F.col("c")).alias("v"),
+                 F.avg("c").alias("cm"), F.var_pop("c").alias("cv")))
+    g = sample_stats.agg(F.avg("c").alias("m"), F.var_pop("c").alias("v")).first()
+    all_m, all_v = F.lit(float(g["m"] or 0.0)), F.lit(float(g["v"] or 0.0))
+    part = features.select("feature_idx").join(part, "feature_idx", "left").fillna(0.0, ["m", "v", "cm", "cv"]).fillna(0, ["k"])
+    k, z = F.col("k").cast("double"), nn - F.col("k")
+    # the zero cells' c: mean from the totals, M2 of all less that of the others and of the gap between both
+    zm = F.when(z > 0, (all_m * nn - F.col("cm") * k) / z).otherwise(0.0)
+    gap = F.col("cm") - F.col("zm")
+    zm2 = F.when(F.col("z") > 0, F.greatest(all_v * nn - F.col("cv") * k - gap * gap * k * F.col("z") / nn, F.lit(0.0))).otherwise(0.0)
+    part = part.withColumn("z", z).withColumn("zm", zm).withColumn("zm2", zm2)
+    step = F.col("m") - F.col("zm")
+    m2 = F.col("v") * k + F.col("zm2") + step * step * k * F.col("z") / nn
+    part = part.select("feature_idx", ((F.col("m") * k + F.col("zm") * F.col("z")) / nn).alias("mean"), (m2 / nn).alias("var"))
+    eps = F.lit(2.0 ** -52)
+    rounding = nn * eps * F.col("var") + F.pow(nn * eps * F.col("mean"), 2)
+    return part.select("feature_idx", "mean", F.sqrt("var").alias("std"), (F.col("var") <= rounding).alias("constant"))
+
+
 def standardise(abundance: DataFrame, samples: DataFrame,
                 params: PreprocessParams = PreprocessParams(),
                 features: DataFrame | None = None, persist=None,
@@ -130,25 +160,11 @@ def standardise(abundance: DataFrame, samples: DataFrame,
     sample_stats = (samples.join(per_sample, "sample_key", "left")
                            .select("sample_key", c_expr.alias("c"), "sum_s"))
 
-    g = sample_stats.agg(F.sum("c").alias("sum_c"), F.sum(F.col("c") * F.col("c")).alias("sum_c2")).first()
-    sum_c, sum_c2 = float(g["sum_c"] or 0.0), float(g["sum_c2"] or 0.0)
-
-    per_feature = (s_long.join(sample_stats.select("sample_key", "c"), "sample_key")
-                         .groupBy("feature_idx")
-                         .agg(F.sum("s").alias("sum_s"),
-                              F.sum(F.col("s") * F.col("s") + 2.0 * F.col("s") * F.col("c")).alias("sum_q")))
-    mean = F.col("sum_s") / n + F.lit(sum_c / n)
-    var = (F.col("sum_q") + F.lit(sum_c2)) / n - mean * mean
-    moments = (features.select("feature_idx")
-                       .join(per_feature, "feature_idx", "left")
-                       .fillna(0.0, ["sum_s", "sum_q"])
-                       .select("feature_idx", mean.alias("mean"),
-                               F.sqrt(F.greatest(var, F.lit(0.0))).alias("std")))
+    moments = column_moments(s_long, sample_stats, features, n)
     rows = sorted(moments.collect(), key=lambda r: r["feature_idx"])
     mean_arr = [float(r["mean"]) for r in rows]
-    std_arr = [float(r["std"]) for r in rows]
-    # a column whose variance is round-off only is constant (scale 1)
-    std_arr = [0.0 if s <= 1e-6 * max(1.0, abs(m)) else s for m, s in zip(mean_arr, std_arr)]
+    std_arr = [0.0 if r["constant"] else float(r["std"]) for r in rows]
+    moments = moments.drop("constant")
 
     vectors = assemble_vectors(s_long, sample_stats, mean_arr, std_arr)
     if persist:
@@ -175,9 +191,3 @@ def assemble_vectors(s_long: DataFrame, sample_stats: DataFrame,
     return (sample_stats.join(sparse, "sample_key", "left")
                         .select("sample_key",
                                 F.transform(F.sequence(F.lit(0), F.lit(d - 1)), z).alias("features")))
-
-
-def moments_summary(std: Standardised) -> DataFrame:
-    """Overall mean / population std of the standardised matrix (the run-time report)."""
-    v = std.vectors.select(F.explode("features").alias("z"))
-    return v.agg(F.avg("z").alias("overall_mean"), F.stddev_pop("z").alias("overall_std"))

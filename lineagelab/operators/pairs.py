@@ -1,12 +1,11 @@
-"""Exact all-pairs work on vectors, split into block pairs (C10, C11, H10 exact).
-
-Rows are hashed into B ≈ n / block_rows blocks. Every block pair (a, b) is one
-co-group: the rows of block a and of block b meet in one Arrow batch where a
-NumPy matrix product computes all their distances at once. Each row is sent
-to B block pairs, so the shuffle is n·B rows and every task holds at most two
-blocks; only the reduced result (top-k candidates, edges over a threshold,
-per-cluster distance sums) leaves the task. Pair keys are produced by an
-explode and an equi-join key, never by a cross join.
+"""Exact all-pairs work on vectors (C10, C11, H10 exact).
+
+Nearest neighbours and threshold edges run over a pivot index (``pivots.PivotIndex``):
+block pairs that the triangle inequality rules out are never formed, the others are one
+co-group each, where a NumPy matrix product compares two blocks. Distance sums
+(exact silhouette) need every pair: rows are hashed into B ≈ n / block_rows blocks, and
+every block pair is one co-group. Pair keys are produced by an explode and an
+equi-join key, never by a cross join; only reduced results leave a task.
 """
 
 from __future__ import annotations
@@ -15,10 +14,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+from .pivots import _SUB, ZERO_CELL, PivotIndex, distances, euclidean, matrix
+
 
 def n_blocks(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / max(1, block_rows)))
@@ -46,100 +48,178 @@ def _sides(points: DataFrame, key: str, cols: list[str], nb: int, ordered: bool)
     return left, right
 
 
-def _mat(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    if len(pdf) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[col].to_numpy()])
+_ROUTES = "key long, vec array<double>, a long, targets array<long>, neighbor_key array<long>, score array<double>"
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    nrm = np.linalg.norm(m, axis=1, keepdims=True)
-    nrm[nrm == 0] = 1.0
-    return m / nrm
+def _scores(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine, or the negated distance: larger is nearer in both cases."""
+    return a @ b.T if metric == "cosine" else -euclidean(a, b)
 
 
-def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(d2, 0.0))
+def _best(s: np.ndarray, keys: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest finite scores (not below ``least``), ties to the smaller key."""
+    kk = min(k, s.shape[1])
+    floor = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]          # the k-th score: only ties of it are ordered by key
+    if least is not None:
+        floor = np.maximum(floor, least)
+    rows, cols = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+    order = np.lexsort((keys[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(len(s)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep]
 
 
-def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str = "vec",
-                   block_rows: int = 2000, metric: str = "cosine") -> DataFrame:
-    """(sample_key, neighbor_key, cosine | distance, rank): the k nearest other rows, exact.
+def _block_rows(pairs: DataFrame, refs: PivotIndex) -> DataFrame:
+    """The rows of block b for every pair (a, b); fresh aliases, as both sides of a co-group come from one plan."""
+    rows = refs.rows.select(F.col("block").alias("b"), F.col(refs.key).alias("key"), F.col("vec").alias("vec"))
+    return pairs.join(rows, "b").select(*[F.col(c).alias(c) for c in ("a", "b", "key", "vec")])
 
-    ``metric="cosine"``: highest cosine similarity; ``"euclidean"``: lowest distance.
 
-    Each block pair keeps, for every left row, its k best partners of the
-    right block (self excluded); a final row_number over those ≤ k·B
-    candidates per row picks the global top k (ties: lower neighbour key).
+def knn_routes(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool) -> DataFrame:
+    """Every query row with its best rows of its home block, and the other blocks that can hold nearer ones.
+
+    The k-th score of the home block is a bound; block b is a target when the triangle
+    inequality leaves room for a row within it. Without k rows at home every block is.
     """
-    n = points.count()
-    nb = n_blocks(n, block_rows)
-    left, right = _sides(points, key, [vec], nb, ordered=False)
+    metric, pivots, slack = refs.metric, refs.pivots, refs.slack()
+    cells = refs.cells
+    cell = cells["cell"].to_numpy().astype(np.int64)
+    lo, hi, parts = (cells[c].to_numpy() for c in ("lo", "hi", "parts"))
+    real = cell != ZERO_CELL
+    blocks = [cell[i] * _SUB + np.arange(parts[i]) for i in range(len(cell))]
+
+    def bound(v: np.ndarray) -> np.ndarray:
+        """Smallest distance that a row of each cell can have to each row of v."""
+        out = np.full((len(v), len(cell)), math.pi / 2)
+        if real.any():
+            d = distances(metric, v, pivots[cell[real]])
+            near = np.maximum(np.maximum(d - hi[real], lo[real] - d), 0.0)
+            if metric == "cosine":                               # a zero row is at a right angle to all
+                near[(v * v).sum(1) == 0] = math.pi / 2
+            out[:, real] = near
+        return out
+
+    def route(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if not len(lp):
+            return pd.DataFrame({c.split()[0]: [] for c in _ROUTES.split(", ")})
+        v, keys = matrix(lp["vec"]), lp["key"].to_numpy()
+        reach = np.full(len(v), np.inf)
+        found = [([], [])] * len(v)
+        if len(rp):
+            rk = rp["key"].to_numpy()
+            s = _scores(metric, v, matrix(rp["vec"]))
+            if exclude_self:
+                s[keys[:, None] == rk[None, :]] = -np.inf
+            rows, cols = _best(s, rk, k)
+            at = np.searchsorted(rows, np.arange(len(v) + 1))
+            found = [(rk[cols[x:y]], s[rows[x:y], cols[x:y]]) for x, y in zip(at, at[1:])]
+            full = np.flatnonzero(np.diff(at) == k)
+            kth = s[rows[at[full + 1] - 1], cols[at[full + 1] - 1]]
+            reach[full] = np.arccos(np.clip(kth, -1.0, 1.0)) if metric == "cosine" else -kth
+        near = bound(v) <= (reach + slack)[:, None]
+        home = int(lp["b"].iloc[0])
+        targets = []
+        for row in near:
+            ids = np.concatenate([blocks[i] for i in np.flatnonzero(row)]) if row.any() else np.zeros(0, dtype=np.int64)
+            targets.append(ids[ids != home])
+        return pd.DataFrame({"key": keys, "vec": list(lp["vec"]), "a": lp["a"].to_numpy(), "targets": targets,
+                             "neighbor_key": [f[0] for f in found], "score": [f[1] for f in found]})
+
+    # home block: the same cell's part of the references (for the index itself: the own block)
+    own = F.lit(1)
+    if len(cell):
+        own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in zip(cell, parts) for x in kv]), F.col("cell").cast("int")), F.lit(1))
+    left = queries.rows.select(F.col("block").alias("a"), (F.col("cell").cast("long") * _SUB + (F.col("block") % _SUB) % own).alias("b"),
+                               F.col(queries.key).alias("key"), "vec")
+    right = _block_rows(left.select("a", "b").distinct(), refs)
+    routes = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(route, _ROUTES)
+    return materialize(routes, "knn-routes")
+
+
+def knn_compared(routes: DataFrame, refs: PivotIndex) -> int:
+    """Row pairs that the routes compare: home blocks and targets."""
+    sizes = refs.rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    away = routes.select(F.explode("targets").alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("q"))
+    home = routes.groupBy(F.col("a").alias("block")).agg(F.count(F.lit(1)).alias("q"))
+    asked = away.unionByName(home).join(sizes, "block")
+    return int(asked.agg(F.sum(F.col("q") * F.col("n"))).first()[0] or 0)
+
+
+def _nearest(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool) -> DataFrame:
+    """(sample_key, neighbor_key, score, rank), exact; ties to the smaller neighbour key."""
+    metric = refs.metric
+    routes = knn_routes(queries, refs, k, exclude_self)
+    least = F.when(F.size("score") >= k, F.element_at("score", -1)).otherwise(F.lit(float("-inf")))
+    left = routes.select("a", F.explode("targets").alias("b"), "key", "vec", least.alias("least"))
+    right = _block_rows(routes.select("a", F.explode("targets").alias("b")).distinct(), refs)
 
     def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
+        if not len(lp) or not len(rp):
             return pd.DataFrame({"sample_key": [], "neighbor_key": [], "score": []})
-        if metric == "cosine":
-            s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
-        else:  # negated distance, so "larger is nearer" in both cases
-            s = -_euclid(_mat(lp, vec), _mat(rp, vec))
-        lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
-        s[lk[:, None] == rk[None, :]] = -np.inf
-        kk = min(k, s.shape[1])
-        # order by similarity desc, then neighbour key asc
-        order = np.lexsort((np.broadcast_to(rk, s.shape), -s), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        cols = order.ravel()
-        vals = s[rows, cols]
-        keep = np.isfinite(vals)
-        return pd.DataFrame({"sample_key": lk[rows[keep]], "neighbor_key": rk[cols[keep]],
-                             "score": vals[keep]})
-
-    schema = T.StructType([T.StructField("sample_key", T.LongType()),
-                           T.StructField("neighbor_key", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-    cands = (left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b"))
-                 .applyInPandas(top, schema))
-    from pyspark.sql.window import Window
+        s = _scores(metric, matrix(lp["vec"]), matrix(rp["vec"]))
+        lk, rk = lp["key"].to_numpy(), rp["key"].to_numpy()
+        if exclude_self:
+            s[lk[:, None] == rk[None, :]] = -np.inf
+        rows, cols = _best(s, rk, k, lp["least"].to_numpy())
+        return pd.DataFrame({"sample_key": lk[rows], "neighbor_key": rk[cols], "score": s[rows, cols]})
+
+    schema = "sample_key long, neighbor_key long, score double"
+    away = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(top, schema)
+    home = routes.select(F.col("key").alias("sample_key"), F.explode(F.arrays_zip("neighbor_key", "score")).alias("f"))
+    found = home.select("sample_key", "f.neighbor_key", "f.score").unionByName(away)
     w = Window.partitionBy("sample_key").orderBy(F.desc("score"), F.asc("neighbor_key"))
-    out = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def knn_candidates(points: DataFrame, k: int, key: str = "sample_key", vec: str = "vec",
+                   block_rows: int = 2000, metric: str = "cosine") -> DataFrame:
+    """(sample_key, neighbor_key, cosine | distance, rank): the k nearest other rows, exact.
+
+    ``metric="cosine"``: highest cosine similarity; ``"euclidean"``: lowest distance. Every
+    row is compared with its own block first; its k-th score there rules out the blocks
+    that cannot hold a nearer row (ties: lower neighbour key). Rows with a NULL vector take no part.
+    """
+    index = PivotIndex(points, key, vec, metric, block_rows)
+    out = _nearest(index, index, k, True)
     if metric == "cosine":
         return out.withColumnRenamed("score", "cosine")
     return out.withColumn("distance", -F.col("score")).drop("score")
 
 
 def threshold_edges(points: DataFrame, threshold: float, key: str = "sample_key",
-                    vec: str = "vec", block_rows: int = 2000) -> DataFrame:
+                    vec: str = "vec", block_rows: int = 2000, index: PivotIndex | None = None) -> DataFrame:
     """(source, target, weight): every pair with cosine ≥ threshold, source < target, exact."""
-    n = points.count()
-    nb = n_blocks(n, block_rows)
-    left, right = _sides(points, key, [vec], nb, ordered=True)
+    index = index or PivotIndex(points, key, vec, "cosine", block_rows)
+    reach = math.acos(max(-1.0, min(1.0, threshold)))
+    left, right = index.sides(index.block_pairs(reach), [index.key, "vec"])
+    pivots, slack, key = index.pivots, index.slack(), index.key
+    radius = dict(zip(index.cells["cell"], index.cells["hi"]))
+
+    def close(v: np.ndarray, block: int) -> np.ndarray:
+        """Rows of v that can be within reach of some row of the block."""
+        cell = block // _SUB
+        if cell == ZERO_CELL:
+            return np.ones(len(v), dtype=bool)
+        return (distances("cosine", v, pivots[[cell]])[:, 0] - radius[cell] <= reach + slack) | ((v * v).sum(1) == 0)
 
     def edges(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
+        if not len(lp) or not len(rp):
             return pd.DataFrame({"source": [], "target": [], "weight": []})
-        diagonal = int(lp["_a"].iloc[0]) == int(lp["_b"].iloc[0])
-        a, b = _unit_rows(_mat(lp, vec)), _unit_rows(_mat(rp, vec))
-        s = a @ b.T
+        block_a, block_b = int(lp["a"].iloc[0]), int(lp["b"].iloc[0])
+        a, b = matrix(lp["vec"]), matrix(rp["vec"])
         lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
+        if block_a != block_b:
+            ka, kb = close(a, block_b), close(b, block_a)
+            a, b, lk, rk = a[ka], b[kb], lk[ka], rk[kb]
+        s = a @ b.T
         hit = s >= threshold
-        if diagonal:  # diagonal block: each unordered pair once
-            hit &= lk[:, None] < rk[None, :]
-        else:
-            hit &= lk[:, None] != rk[None, :]
-        ii, jj = np.nonzero(hit)
-        x, y = lk[ii], rk[jj]
-        return pd.DataFrame({"source": np.minimum(x, y), "target": np.maximum(x, y),
-                             "weight": s[ii, jj]})
-
-    schema = T.StructType([T.StructField("source", T.LongType()),
-                           T.StructField("target", T.LongType()),
-                           T.StructField("weight", T.DoubleType())])
-    # a pair with blocks a < b is seen once, in group (a, b); inside a
-    # diagonal group (a, a) the key order keeps each pair once
-    return (left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b"))
-                .applyInPandas(edges, schema))
+        # inside a block the key order keeps each pair once
+        hit &= lk[:, None] < rk[None, :] if block_a == block_b else lk[:, None] != rk[None, :]
+        i, j = np.nonzero(hit)
+        return pd.DataFrame({"source": np.minimum(lk[i], rk[j]), "target": np.maximum(lk[i], rk[j]), "weight": s[i, j]})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(edges, "source long, target long, weight double")
 
 
 def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str = "vec",
@@ -162,7 +242,7 @@ def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str =
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({"sample_key": [], "cluster_id": [], "other_cluster": [],
                                  "dist_sum": [], "n_other": []})
-        d = _euclid(_mat(lp, vec), _mat(rp, vec))
+        d = euclidean(matrix(lp[vec]), matrix(rp[vec]))
         lk = lp[key].to_numpy()
         same = lk[:, None] == rp[key].to_numpy()[None, :]
         d[same] = 0.0
@@ -190,33 +270,7 @@ def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str =
 def knn_between(queries: DataFrame, refs: DataFrame, k: int, key: str = "sample_key",
                 vec: str = "vec", block_rows: int = 2000) -> DataFrame:
     """(sample_key, neighbor_key, cosine, rank): the k most cosine-similar reference rows
-    of every query row, exact; query blocks × reference blocks, one co-group each."""
-    nq = n_blocks(queries.count(), block_rows)
-    nr = n_blocks(refs.count(), block_rows)
-
-    def blk(n):
-        return ((F.xxhash64(F.col(key)) % n + n) % n).cast("int")
-
-    left = queries.select(blk(nq).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("_b"),
-                          F.col(key).alias(key), F.col(vec).alias(vec))
-    right = refs.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_a"), blk(nr).alias("_b"),
-                        F.col(key).alias(key), F.col(vec).alias(vec))
-
-    def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "score": []})
-        s = _unit_rows(_mat(lp, vec)) @ _unit_rows(_mat(rp, vec)).T
-        lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
-        kk = min(k, s.shape[1])
-        order = np.lexsort((np.broadcast_to(rk, s.shape), -s), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        cols = order.ravel()
-        return pd.DataFrame({"sample_key": lk[rows], "neighbor_key": rk[cols], "cosine": s[rows, cols]})
-
-    schema = T.StructType([T.StructField("sample_key", T.LongType()),
-                           T.StructField("neighbor_key", T.LongType()),
-                           T.StructField("cosine", T.DoubleType())])
-    cands = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(top, schema)
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("sample_key").orderBy(F.desc("cosine"), F.asc("neighbor_key"))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    of every query row, exact; queries are routed over the references' pivots."""
+    ref_index = PivotIndex(refs, key, vec, "cosine", block_rows)
+    query_index = PivotIndex(queries, key, vec, "cosine", block_rows, pivots=ref_index.pivots)
+    return _nearest(query_index, ref_index, k, False).withColumnRenamed("score", "cosine")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.cleaning import is_missing, normalise_gender, to_number
 from ..functions.scores import rnd
 from ..params import NULL_SENTINELS, ProfileParams
+from ..session import materialize
 
 _P = ProfileParams()
 
@@ -60,12 +61,45 @@ def histogram(df: DataFrame, col: str, bins: int = _P.age_bins) -> DataFrame:
                         rnd(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count"))
 
 
+def split_quantiles(df: DataFrame, col: str, probs: list, by: tuple = ()) -> DataFrame:
+    """(*by, prob, value): exact quantiles (linear between neighbours) per group, NULLs left out.
+
+    Values are counted first (map-side), the distinct ones dealt to ranges of
+    (group, value), and running counts taken within each range; only one count per
+    range and group is added up, so neither a group nor the whole is held by one task.
+    """
+    by = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts, "value-counts")
+    ranged = materialize(counts.repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()), "value-ranges")
+    names = [f"_g{i}" for i in range(len(by))]                   # fresh names: both sides come from one plan
+    sums = ranged.groupBy(*[F.col(c).alias(x) for c, x in zip(by, names)], F.col("_range").alias("_r")).agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*names)                           # one row per range and group
+    earlier = Window.partitionBy(*names).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*names, "_r", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_skip"), F.sum("_s").over(group).alias("_all"))
+    own = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cond = F.col("_range") == F.col("_r")
+    for c, x in zip(by, names):
+        cond = cond & F.col(c).eqNullSafe(F.col(x))
+    placed = (ranged.withColumn("_upto", F.sum("_n").over(own)).join(starts, cond)
+              .select(*by, "_v", "_all", (F.col("_skip") + F.col("_upto") - F.col("_n")).alias("_lo"),
+                      (F.col("_skip") + F.col("_upto") - 1).alias("_hi")))
+    at = F.col("prob") * (F.col("_all") - 1)                     # position of the quantile, counted from 0
+    hits = (placed.select("*", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob"))
+            .select("*", F.floor(at).alias("_f"), F.ceil(at).alias("_c"), (at - F.floor(at)).alias("_w"))
+            .where(F.col("_f").between(F.col("_lo"), F.col("_hi")) | F.col("_c").between(F.col("_lo"), F.col("_hi"))))
+    below = F.max(F.when(F.col("_f").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
+    above = F.max(F.when(F.col("_c").between(F.col("_lo"), F.col("_hi")), F.col("_v")))
+    return hits.groupBy(*by, "prob").agg((below + (above - below) * F.max("_w")).alias("value"))
+
+
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
-    """(n, median, mean, min, max) of a numeric text column; exact median."""
+    """(n, median, mean, min, max) of a numeric text column; exact median (``split_quantiles``)."""
     x = to_number(F.when(~F.col(col).isin(NULL_SENTINELS), F.col(col)))
-    return df.select(x.alias("x")).agg(
-        F.count("x").alias("n"), F.median("x").alias("median"), F.avg("x").alias("mean"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
+    vals = df.select(x.alias("x"))
+    stats = vals.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    median = split_quantiles(vals, "x", [0.5]).select(F.col("value").alias("median"))
+    return stats.join(F.broadcast(median), how="left").select("n", "median", "mean", "min", "max")       # one row each
 
 
 def gender_shares(df: DataFrame, col: str = "gender") -> DataFrame:
@@ -91,14 +125,12 @@ def missing_profile(df: DataFrame, meta_cols: list[str],
 
 
 def feature_means(indexed: DataFrame, n_samples: int) -> DataFrame:
-    """(feature_idx, mean, std) with zeros included: Σx/n, sample std (ddof 1)."""
-    agg = indexed.groupBy("feature_idx").agg(F.sum("value").alias("sx"),
-                                             F.sum(F.col("value") * F.col("value")).alias("sxx"))
-    n = float(n_samples)
-    mean = F.col("sx") / F.lit(n)
-    var = (F.col("sxx") - F.col("sx") * F.col("sx") / F.lit(n)) / F.lit(max(n - 1.0, 1.0))
-    return agg.select("feature_idx", mean.alias("mean"),
-                      F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    """(feature_idx, mean, std) with zeros included; sample std (ddof 1) from merged centred sums."""
+    agg = indexed.groupBy("feature_idx").agg(F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    n, k, m = float(n_samples), F.col("k"), F.col("m")
+    # the k non-zero cells merged with n - k zero cells: no difference of large squares
+    m2 = F.col("v") * k + m * m * k * (F.lit(n) - k) / F.lit(n)
+    return agg.select("feature_idx", (m * k / F.lit(n)).alias("mean"), F.sqrt(m2 / F.lit(max(n - 1.0, 1.0))).alias("std"))
 
 
 def top_features_by_mean(indexed: DataFrame, features: DataFrame, n_samples: int,

@@ -23,9 +23,9 @@ SELECT l.sample_key, l.cluster_id, {S.r6('coalesce(sh0.h, 0.0)')} AS diversity_s
        {S.div_class('coalesce(sh0.h, 0.0)')} AS diversity_class,
        {S.r6('nov.ns')} AS novelty_score, {S.nov_class('nov.ns')} AS novelty_class,
        m.disease, m.age, m.gender, m.country, m.bmi,
-       n1.neighbor_key AS neighbor_1_key, {S.r6('greatest(n1.cosine, 0.0)')} AS neighbor_1_cosine,
-       n2.neighbor_key AS neighbor_2_key, {S.r6('greatest(n2.cosine, 0.0)')} AS neighbor_2_cosine,
-       n3.neighbor_key AS neighbor_3_key, {S.r6('greatest(n3.cosine, 0.0)')} AS neighbor_3_cosine
+       n1.neighbor_key AS neighbor_1_key, {S.r6('CASE WHEN n1.cosine < 0 THEN 0.0 ELSE n1.cosine END')} AS neighbor_1_cosine,
+       n2.neighbor_key AS neighbor_2_key, {S.r6('CASE WHEN n2.cosine < 0 THEN 0.0 ELSE n2.cosine END')} AS neighbor_2_cosine,
+       n3.neighbor_key AS neighbor_3_key, {S.r6('CASE WHEN n3.cosine < 0 THEN 0.0 ELSE n3.cosine END')} AS neighbor_3_cosine
 FROM lab l LEFT JOIN sh0 USING (sample_key) LEFT JOIN nov USING (sample_key)
 LEFT JOIN meta m ON m.sample_key = l.sample_key
 LEFT JOIN nn n1 ON n1.sample_key = l.sample_key AND n1.rank = 1

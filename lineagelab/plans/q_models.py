@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.scores import rnd
 from ..operators import models as M
 from ..operators.density import density_cluster
+from ..operators.gramian import variance_spectrum
 from ..operators.metadata import clean_metadata
+from ..operators.profile import variance_profile
 from ..params import ImportanceParams
 from ..sources import fixtures
+from . import sql_twins as S
 from .context import prepare
 from .registry import register
 
 TOP_GLOBAL = ImportanceParams().top_global
 
-DENSITY_EPS = 0.02
+DENSITY_EPS = 1.15
 DENSITY_MIN_SAMPLES = 5
-DENSITY_MIN_SIZE = 10
+DENSITY_MIN_SIZE = 3
 
 _MEMO: dict = {}
 
@@ -114,10 +117,8 @@ def q_method_evaluation(spark, sf_dir):
 
 
 DENSITY_SQL = f"""
-WITH RECURSIVE pts AS (SELECT vec_id AS sample_key, CAST(embedding[1] AS DOUBLE) AS x,
-                              CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-nb AS (SELECT a.sample_key AS a, b.sample_key AS b FROM pts a JOIN pts b
-       ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST({DENSITY_EPS} AS DOUBLE) * CAST({DENSITY_EPS} AS DOUBLE)),
+WITH RECURSIVE pts AS ({S.POINTS_SQL}),
+nb AS (SELECT a.sample_key AS a, b.sample_key AS b FROM pts a JOIN pts b ON list_distance(a.vec, b.vec) <= CAST({DENSITY_EPS} AS DOUBLE)),
 core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= {DENSITY_MIN_SAMPLES}),
 ce AS (SELECT nb.a, nb.b FROM nb WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
 reach(node, r) AS (SELECT a, a FROM core UNION SELECT reach.node, ce.b FROM reach JOIN ce ON reach.r = ce.a),
@@ -131,11 +132,39 @@ LEFT JOIN core ON core.a = p.sample_key"""
 
 @register("density_clusters", DENSITY_SQL)
 def q_density(spark, sf_dir):
-    pts = fixtures.points(spark, sf_dir).select("sample_key", F.slice("vec", 1, 2).alias("xy"))
-    return density_cluster(pts, "xy", DENSITY_MIN_SAMPLES, DENSITY_MIN_SIZE, eps=DENSITY_EPS).select(
-        "sample_key", F.col("cluster_id").cast("int"), "is_core")
+    """All 64 dimensions of the embeddings."""
+    return density_cluster(fixtures.points(spark, sf_dir), "vec", DENSITY_MIN_SAMPLES, DENSITY_MIN_SIZE, eps=DENSITY_EPS, block_rows=256)
 
 
+def _spectrum(spark, sf_dir):
+    prep = prepare(spark, sf_dir)
+    return variance_spectrum(prep.indexed, prep.samples, prep.features)
+
+
+@register("variance_thresholds")
+def q_variance_thresholds(spark, sf_dir):
+    """First component of the PCA on plain z-scores that reaches 50, 70 and 90 % of the variance (E5)."""
+    s = _spectrum(spark, sf_dir)
+    ratios = spark.createDataFrame(list(enumerate(s.ratios, start=1)), "component int, ratio double")
+    return variance_profile(ratios)[1]
+
+
+# The power sums of the eigenvalues are the traces of the correlation matrix's powers.
+@register("variance_spectrum", S.with_(S.PREP, """
+sc AS (SELECT sample_key, feature_idx, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS v
+       FROM cells WINDOW w AS (PARTITION BY feature_idx)),
+co AS (SELECT a.feature_idx AS i, b.feature_idx AS j, sum(a.v * b.v) / (SELECT n FROM nsmp) AS c
+       FROM sc a JOIN sc b USING (sample_key) GROUP BY 1, 2),
+sq AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM co a JOIN co b ON a.j = b.i GROUP BY 1, 2)""") + f"""
+SELECT 1 AS moment, {S.r6('sum(c)', 5)} AS trace FROM co WHERE i = j
+UNION ALL SELECT 2, {S.r6('sum(c * c)', 5)} FROM co
+UNION ALL SELECT 3, {S.r6('sum(sq.c * co.c)', 5)} FROM sq JOIN co USING (i, j)
+UNION ALL SELECT 4, {S.r6('sum(c * c)', 5)} FROM sq""")
+def q_variance_spectrum(spark, sf_dir):
+    """Power sums 1 to 4 of all eigenvalues of the PCA on plain z-scores (H2)."""
+    values = _spectrum(spark, sf_dir).eigenvalues
+    return spark.createDataFrame([(m, float((values ** m).sum())) for m in range(1, 5)], "moment int, trace double").select("moment", rnd("trace", 5).alias("trace"))
+
 
 @register("fuzzy_graph")
 def q_fuzzy_graph(spark, sf_dir):

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import rnd
 from ..operators import profile as P
-from ..operators.abundance import prevalence_filter
+from ..operators.abundance import prevalence_filter, standardise
 from ..operators.metadata import clean_metadata
-from ..params import NULL_SENTINELS
+from ..params import NULL_SENTINELS, PreprocessParams
+from ..session import materialize
 from ..sources import fixtures
 from . import sql_twins as S
 from .context import prepare
@@ -52,21 +53,45 @@ def q_prevalence_filter(spark, sf_dir):
 
 
 @register("standardised_values", S.with_(S.PREP) +
-          f"SELECT sample_key, feature_idx, {S.r6('z', 5)} AS z FROM z")
+          f"SELECT sample_key, feature_idx, {S.r6('z')} AS z FROM z")
 def q_standardised(spark, sf_dir):
     prep = prepare(spark, sf_dir)
     return prep.std.vectors.select(
         "sample_key", F.posexplode("features").alias("feature_idx", "z")).select(
-        "sample_key", F.col("feature_idx").cast("int"), rnd("z", 5).alias("z"))
+        "sample_key", F.col("feature_idx").cast("int"), rnd("z").alias("z"))
 
 
 @register("clr_moments", S.with_(S.PREP) + f"""
-SELECT feature_idx, {S.r6('avg(clr)')} AS mean, {S.r6('stddev_pop(clr)', 5)} AS std
+SELECT feature_idx, {S.r6('avg(clr)')} AS mean, {S.r6('stddev_pop(clr)')} AS std
 FROM clr GROUP BY feature_idx""")
 def q_clr_moments(spark, sf_dir):
     prep = prepare(spark, sf_dir)
     return prep.std.moments.select("feature_idx", rnd("mean").alias("mean"),
-                                   rnd("std", 5).alias("std"))
+                                   rnd("std").alias("std"))
+
+
+# A full column near 1e6 with a spread of about 1e-3, a sparse one, and a constant one.
+_SHIFTED = (("a", "1000000 + c_acctbal / 3000000.0", "true"), ("b", "1000000 + c_acctbal / 3000000.0", "c_custkey % 3 = 0"), ("c", "7.25", "true"))
+
+
+@register("shifted_moments", "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT c_custkey AS k, 'k__Goods|g__{g}' AS lineage, CASE WHEN {keep} THEN {x} ELSE 0 END AS x FROM customer" for g, x, keep in _SHIFTED) + f""")
+SELECT lineage, {S.r6('avg(x)', 3)} AS mean, {S.r6('stddev_pop(x)')} AS std,
+       CASE WHEN stddev_pop(x) < 1 THEN {S.r6('stddev_pop(x) * 1e6', 1)} END AS std_millionths,
+       {S.r6('CASE WHEN stddev_pop(x) = 0 THEN 0.0 ELSE (max(x) - avg(x)) / stddev_pop(x) END', 3)} AS max_z
+FROM v GROUP BY lineage""")
+def q_shifted_moments(spark, sf_dir):
+    """Moments of columns whose spread is a billionth of their mean (D23, G7): no difference of large squares."""
+    c = fixtures.table(spark, sf_dir, "customer")
+    ab = None
+    for g, x, keep in _SHIFTED:
+        one = c.where(F.expr(keep)).select(F.col("c_custkey").alias("sample_key"), F.lit(f"k__Goods|g__{g}").alias("lineage"), F.expr(x).cast("double").alias("value"))
+        ab = one if ab is None else ab.unionByName(one)
+    std = standardise(ab, fixtures.samples(spark, sf_dir), PreprocessParams(min_prevalence=0.0, scaler="standard"), persist=materialize)
+    top = std.vectors.select(F.posexplode("features").alias("feature_idx", "z")).groupBy("feature_idx").agg(F.max("z").alias("z"))
+    return (std.moments.join(std.features.select("feature_idx", "lineage"), "feature_idx").join(top, "feature_idx")
+            .select("lineage", rnd("mean", 3).alias("mean"), rnd("std").alias("std"),
+                    F.when(F.col("std") < 1, rnd(F.col("std") * 1e6, 1)).alias("std_millionths"), rnd("z", 3).alias("max_z")))
 
 
 def _profile_inputs(spark, sf_dir):

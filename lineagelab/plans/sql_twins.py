@@ -72,7 +72,7 @@ zst AS (SELECT sample_key, feature_idx, clr,
                stddev_pop(clr) OVER (PARTITION BY feature_idx) AS sd
         FROM clr),
 z AS (SELECT sample_key, feature_idx,
-             CASE WHEN sd <= 1e-6 * greatest(1.0, abs(mu)) THEN clr - mu ELSE (clr - mu) / sd END AS z
+             CASE WHEN sd = 0 THEN clr - mu ELSE (clr - mu) / sd END AS z
       FROM zst)"""
 
 LABELS = f"lab AS ({SEGMENT_LABELS_SQL})"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .pivots import _SUB, ZERO_CELL, PivotIndex, distances, euclidean, matrix
+from .pivots import _SUB, ZERO_CELL, PivotIndex, distances, euclidean, matrix, meet
 
 
 def n_blocks(n_rows: int, block_rows: int) -> int:
@@ -100,15 +100,13 @@ def knn_routes(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool
             out[:, real] = near
         return out
 
-    def route(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(lp):
-            return pd.DataFrame({c.split()[0]: [] for c in _ROUTES.split(", ")})
-        v, keys = matrix(lp["vec"]), lp["key"].to_numpy()
+    def route(a: int, b: int, own: dict, home: dict | None) -> dict:
+        v, keys = own["vec"], own["key"]
         reach = np.full(len(v), np.inf)
-        found = [([], [])] * len(v)
-        if len(rp):
-            rk = rp["key"].to_numpy()
-            s = _scores(metric, v, matrix(rp["vec"]))
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(v)
+        if home is not None:
+            rk = home["key"]
+            s = _scores(metric, v, home["vec"])
             if exclude_self:
                 s[keys[:, None] == rk[None, :]] = -np.inf
             rows, cols = _best(s, rk, k)
@@ -117,14 +115,12 @@ def knn_routes(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool
             full = np.flatnonzero(np.diff(at) == k)
             kth = s[rows[at[full + 1] - 1], cols[at[full + 1] - 1]]
             reach[full] = np.arccos(np.clip(kth, -1.0, 1.0)) if metric == "cosine" else -kth
-        near = bound(v) <= (reach + slack)[:, None]
-        home = int(lp["b"].iloc[0])
         targets = []
-        for row in near:
+        for row in bound(v) <= (reach + slack)[:, None]:
             ids = np.concatenate([blocks[i] for i in np.flatnonzero(row)]) if row.any() else np.zeros(0, dtype=np.int64)
-            targets.append(ids[ids != home])
-        return pd.DataFrame({"key": keys, "vec": list(lp["vec"]), "a": lp["a"].to_numpy(), "targets": targets,
-                             "neighbor_key": [f[0] for f in found], "score": [f[1] for f in found]})
+            targets.append(ids[ids != b])
+        return {"key": keys, "vec": list(v), "a": np.full(len(v), a), "targets": targets,
+                "neighbor_key": [f[0] for f in found], "score": [f[1] for f in found]}
 
     # home block: the same cell's part of the references (for the index itself: the own block)
     own = F.lit(1)
@@ -133,8 +129,7 @@ def knn_routes(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool
     left = queries.rows.select(F.col("block").alias("a"), (F.col("cell").cast("long") * _SUB + (F.col("block") % _SUB) % own).alias("b"),
                                F.col(queries.key).alias("key"), "vec")
     right = _block_rows(left.select("a", "b").distinct(), refs)
-    routes = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(route, _ROUTES)
-    return materialize(routes, "knn-routes")
+    return materialize(meet(left, right, route, _ROUTES, refs.block_rows, outer=True), "knn-routes")
 
 
 def knn_compared(routes: DataFrame, refs: PivotIndex) -> int:
@@ -154,18 +149,14 @@ def _nearest(queries: PivotIndex, refs: PivotIndex, k: int, exclude_self: bool)
     left = routes.select("a", F.explode("targets").alias("b"), "key", "vec", least.alias("least"))
     right = _block_rows(routes.select("a", F.explode("targets").alias("b")).distinct(), refs)
 
-    def top(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(lp) or not len(rp):
-            return pd.DataFrame({"sample_key": [], "neighbor_key": [], "score": []})
-        s = _scores(metric, matrix(lp["vec"]), matrix(rp["vec"]))
-        lk, rk = lp["key"].to_numpy(), rp["key"].to_numpy()
+    def top(a: int, b: int, own: dict, other: dict) -> dict:
+        s = _scores(metric, own["vec"], other["vec"])
         if exclude_self:
-            s[lk[:, None] == rk[None, :]] = -np.inf
-        rows, cols = _best(s, rk, k, lp["least"].to_numpy())
-        return pd.DataFrame({"sample_key": lk[rows], "neighbor_key": rk[cols], "score": s[rows, cols]})
+            s[own["key"][:, None] == other["key"][None, :]] = -np.inf
+        rows, cols = _best(s, other["key"], k, own["least"])
+        return {"sample_key": own["key"][rows], "neighbor_key": other["key"][cols], "score": s[rows, cols]}
 
-    schema = "sample_key long, neighbor_key long, score double"
-    away = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(top, schema)
+    away = meet(left, right, top, "sample_key long, neighbor_key long, score double", refs.block_rows)
     home = routes.select(F.col("key").alias("sample_key"), F.explode(F.arrays_zip("neighbor_key", "score")).alias("f"))
     found = home.select("sample_key", "f.neighbor_key", "f.score").unionByName(away)
     w = Window.partitionBy("sample_key").orderBy(F.desc("score"), F.asc("neighbor_key"))
@@ -203,12 +194,8 @@ def threshold_edges(points: DataFrame, threshold: float, key: str = "sample_key"
             return np.ones(len(v), dtype=bool)
         return (distances("cosine", v, pivots[[cell]])[:, 0] - radius[cell] <= reach + slack) | ((v * v).sum(1) == 0)
 
-    def edges(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(lp) or not len(rp):
-            return pd.DataFrame({"source": [], "target": [], "weight": []})
-        block_a, block_b = int(lp["a"].iloc[0]), int(lp["b"].iloc[0])
-        a, b = matrix(lp["vec"]), matrix(rp["vec"])
-        lk, rk = lp[key].to_numpy(), rp[key].to_numpy()
+    def edges(block_a: int, block_b: int, own: dict, other: dict) -> dict:
+        a, b, lk, rk = own["vec"], other["vec"], own[key], other[key]
         if block_a != block_b:
             ka, kb = close(a, block_b), close(b, block_a)
             a, b, lk, rk = a[ka], b[kb], lk[ka], rk[kb]
@@ -217,9 +204,9 @@ def threshold_edges(points: DataFrame, threshold: float, key: str = "sample_key"
         # inside a block the key order keeps each pair once
         hit &= lk[:, None] < rk[None, :] if block_a == block_b else lk[:, None] != rk[None, :]
         i, j = np.nonzero(hit)
-        return pd.DataFrame({"source": np.minimum(lk[i], rk[j]), "target": np.maximum(lk[i], rk[j]), "weight": s[i, j]})
+        return {"source": np.minimum(lk[i], rk[j]), "target": np.maximum(lk[i], rk[j]), "weight": s[i, j]}
 
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(edges, "source long, target long, weight double")
+    return meet(left, right, edges, "source long, target long, weight double", index.block_rows)
 
 
 def cluster_distance_sums(points: DataFrame, key: str = "sample_key", vec: str = "vec",

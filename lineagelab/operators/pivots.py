@@ -9,7 +9,7 @@ dropped without looking at their rows, and nothing is lost. The metric is the an
 rows for cosine similarity, or the Euclidean distance.
 
 A cell of more than ``block_rows`` rows is split by key hash into blocks, so one hot region is
-many blocks. Work is a co-group of two blocks; a task holds two blocks. Only the table of
+many blocks. Two blocks meet in one co-group, which small pairs share (``meet``). Only the table of
 cells (one row per pivot) reaches the driver.
 
 Zero vectors have cosine 0 with everything; they form a cell of their own whose angle to
@@ -172,10 +172,47 @@ class PivotIndex:
                 .select("n_rows", "n_blocks", (F.col("n_rows") * (F.col("n_rows") - 1) / 2).cast("long").alias("all_pairs"), "compared_pairs"))
 
     def sides(self, pairs: DataFrame, cols: list[str], rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Rows of block a and of block b of every pair, keyed (a, b) for a co-group."""
+        """Rows of block a and of block b of every pair, keyed (a, b) for ``meet``."""
         rows = self.rows if rows is None else rows
         out = []
         for side in ("a", "b"):
             own = rows.select(F.col("block").alias(side), *[F.col(c).alias(c) for c in cols])
             out.append(pairs.select(F.col("a").alias("a"), F.col("b").alias("b")).join(own, side).select(F.col("a").alias("a"), F.col("b").alias("b"), *[F.col(c).alias(c) for c in cols]))
         return out[0], out[1]
+
+
+def _by_pair(pdf: pd.DataFrame) -> dict[tuple, dict]:
+    """Columns of the rows of each pair (a, b), as arrays; ``vec`` as a matrix."""
+    if not len(pdf):
+        return {}
+    a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
+    cols = {c: (matrix(pdf[c]) if c == "vec" else pdf[c].to_numpy())[order] for c in pdf.columns if c not in ("a", "b", "_g")}
+    return {(a[x], b[x]): {c: v[x:y] for c, v in cols.items()} for x, y in zip(cuts, cuts[1:])}
+
+
+def meet(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int, outer: bool = False) -> DataFrame:
+    """``fn(a, b, left columns, right columns)`` for every pair (a, b) that both sides have rows of.
+
+    It returns a dict of arrays with the names of ``schema``, or None. Small pairs share a co-group, so that
+    each does not pay for a call; a co-group holds about ``4 * block_rows`` rows. ``outer``: also pairs
+    without rows on the right (None).
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    spark = left.sparkSession
+    n = left.select("a", "b").count()
+    buckets = max(spark.sparkContext.defaultParallelism * 2, n // (4 * block_rows) + 1)
+    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int").alias("_g")
+
+    def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = _by_pair(lp), _by_pair(rp)
+        found = [fn(pair[0], pair[1], own, theirs.get(pair)) for pair, own in ours.items() if outer or pair in theirs]
+        found = [f for f in found if f is not None]
+        if not found:
+            return pd.DataFrame({c: [] for c in names})
+        return pd.DataFrame({c: np.concatenate([f[c] for f in found]) if isinstance(found[0][c], np.ndarray) else [x for f in found for x in f[c]] for c in names})
+
+    sides = [side.select(bucket, *[F.col(c).alias(c) for c in side.columns]) for side in (left, right)]
+    return sides[0].groupBy("_g").cogroup(sides[1].groupBy("_g")).applyInPandas(run, schema)

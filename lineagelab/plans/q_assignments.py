@@ -32,6 +32,6 @@ LEFT JOIN nn n1 ON n1.sample_key = l.sample_key AND n1.rank = 1
 LEFT JOIN nn n2 ON n2.sample_key = l.sample_key AND n2.rank = 2
 LEFT JOIN nn n3 ON n3.sample_key = l.sample_key AND n3.rank = 3""")
 def q_cluster_assignments(spark, sf_dir):
-    knn = knn_candidates(fixtures.points(spark, sf_dir), 3, block_rows=128)
+    knn = knn_candidates(fixtures.points(spark, sf_dir), 3, block_rows=512)
     out = cluster_assignments(fingerprint_frame(spark, sf_dir), clean_metadata(fixtures.metadata_raw(spark, sf_dir)), knn)
     return out.select(*[rnd(c).alias(c) if c.endswith("_cosine") else F.col(c) for c in out.columns])

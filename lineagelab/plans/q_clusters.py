@@ -168,7 +168,7 @@ SELECT sample_key,
        {S.r6('max(CASE WHEN rank = 3 THEN greatest(cosine, 0.0) END)')} AS neighbor_3_cosine
 FROM rk WHERE rank <= 3 GROUP BY sample_key""")
 def q_knn(spark, sf_dir):
-    knn = knn_candidates(fixtures.points(spark, sf_dir), 3, block_rows=128)
+    knn = knn_candidates(fixtures.points(spark, sf_dir), 3, block_rows=512)
     knn = knn.withColumn("cosine", F.greatest("cosine", F.lit(0.0)))
     w = G.neighbors_wide(knn, 3)
     return w.select("sample_key", *[c if c.endswith("key") else rnd(c).alias(c)
@@ -185,7 +185,7 @@ edges AS (SELECT a.sample_key AS source, b.sample_key AS target,
 @register("similarity_edges", S.with_(PTS, EDGES_SQL) +
           f"SELECT source, target, {S.r6('weight')} AS weight FROM edges")
 def q_edges(spark, sf_dir):
-    e = threshold_edges(fixtures.points(spark, sf_dir), EDGE_THRESHOLD, block_rows=128)
+    e = threshold_edges(fixtures.points(spark, sf_dir), EDGE_THRESHOLD, block_rows=512)
     return e.select("source", "target", rnd("weight").alias("weight"))
 
 
@@ -197,7 +197,7 @@ SELECT (SELECT count(DISTINCT sample_key) FROM pts) AS n_nodes,
        count(*) AS n_edges, CAST({EDGE_THRESHOLD} AS DOUBLE) AS threshold FROM edges""")
 def q_network_stats(spark, sf_dir):
     pts = fixtures.points(spark, sf_dir)
-    return G.network_stats(pts, threshold_edges(pts, EDGE_THRESHOLD, block_rows=128), EDGE_THRESHOLD)
+    return G.network_stats(pts, threshold_edges(pts, EDGE_THRESHOLD, block_rows=512), EDGE_THRESHOLD)
 
 
 @register("sampled_nodes", S.with_(PTS, NODES_SQL) + "SELECT sample_key, cluster_id FROM nodes")
@@ -215,6 +215,6 @@ reach(node, r) AS (SELECT sample_key, sample_key FROM pts
 @register("connected_components", CC_SQL)
 def q_components(spark, sf_dir):
     pts = fixtures.points(spark, sf_dir)
-    e = threshold_edges(pts, EDGE_THRESHOLD, block_rows=128)
+    e = threshold_edges(pts, EDGE_THRESHOLD, block_rows=512)
     return G.connected_components(e, pts.select("sample_key")).select(
         F.col("node").alias("sample_key"), "component")

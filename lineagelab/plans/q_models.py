@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import rnd
+from ..operators import atlas as A
 from ..operators import models as M
 from ..operators.density import density_cluster
 from ..operators.gramian import variance_spectrum
 from ..operators.metadata import clean_metadata
 from ..operators.profile import variance_profile
 from ..params import ImportanceParams
+from ..session import materialize
 from ..sources import fixtures
 from . import sql_twins as S
 from .context import prepare
@@ -166,9 +168,63 @@ def q_variance_spectrum(spark, sf_dir):
     return spark.createDataFrame([(m, float((values ** m).sum())) for m in range(1, 5)], "moment int, trace double").select("moment", rnd("trace", 5).alias("trace"))
 
 
-@register("fuzzy_graph")
+FUZZY_K = 30
+
+FUZZY_SQL = f"""
+pts AS ({S.POINTS_SQL}),
+rk AS (SELECT a.sample_key AS i, b.sample_key AS j, list_cosine_similarity(a.vec, b.vec) AS c,
+              row_number() OVER (PARTITION BY a.sample_key ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.sample_key) AS rank
+       FROM pts a JOIN pts b ON a.sample_key <> b.sample_key),
+d AS (SELECT i, list(greatest(1 - c, 0.0)) AS ds, coalesce(min(greatest(1 - c, 0.0)) FILTER (WHERE 1 - c > 0), 0.0) AS rho
+      FROM rk WHERE rank <= {FUZZY_K} GROUP BY i),
+bis(i, step, lo, hi, mid) AS (
+  SELECT i, 0, 0.0::DOUBLE, -1.0::DOUBLE, 1.0::DOUBLE FROM d
+  UNION ALL
+  SELECT i, step + 1, lo, hi, CASE WHEN hi < 0 THEN mid * 2 ELSE (lo + hi) / 2 END
+  FROM (SELECT b.i, step, mid, CASE WHEN p > log2({FUZZY_K}) THEN lo ELSE mid END AS lo, CASE WHEN p > log2({FUZZY_K}) THEN mid ELSE hi END AS hi
+        FROM (SELECT b.*, list_sum(list_transform(ds, lambda x: exp(-greatest(x - rho, 0.0) / mid))) AS p FROM bis b JOIN d USING (i)) b)
+  WHERE step < 64),
+w AS (SELECT rk.i, rk.j, exp(-greatest(greatest(1 - c, 0.0) - rho, 0.0) / mid) AS w
+      FROM rk JOIN d USING (i) JOIN bis ON bis.i = rk.i AND step = 64 WHERE rank <= {FUZZY_K}),
+fz AS (SELECT least(i, j) AS source, greatest(i, j) AS target, sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END AS weight
+       FROM w GROUP BY 1, 2)"""
+
+
+@register("fuzzy_graph", "WITH RECURSIVE " + FUZZY_SQL + f" SELECT source, target, {S.r6('weight')} AS weight FROM fz")
 def q_fuzzy_graph(spark, sf_dir):
     """Fuzzy 30-nearest-neighbour graph of the embeddings (cosine), symmetrised (H4)."""
-    from ..operators.atlas import fuzzy_neighbor_graph
-    g = fuzzy_neighbor_graph(fixtures.points(spark, sf_dir), k=30)
+    g = A.fuzzy_neighbor_graph(fixtures.points(spark, sf_dir), k=FUZZY_K)
     return g.select("source", "target", rnd("weight").alias("weight"))
+
+
+# What must hold of the stored vectors: unit length, Av = λv, no share of the trivial vector or of each other.
+@register("spectral_map", "WITH n AS (SELECT count(*) AS n FROM embeddings) " + " UNION ALL ".join(
+    f"SELECT {i} AS axis, n AS n_placed, 1.0 AS norm, 0.0 AS residual, 0.0 AS against_trivial, 0.0 AS against_other FROM n" for i in (1, 2)))
+def q_spectral_map(spark, sf_dir):
+    """Laplacian eigenmap of the fuzzy graph (H3), checked from its stored vectors to 4 decimals."""
+    points = fixtures.points(spark, sf_dir)
+    graph = materialize(A.fuzzy_neighbor_graph(points, k=FUZZY_K), "fuzzy-graph")
+    vectors, values = A.spectral_vectors(graph, points)
+    placed = vectors.where("s > 0").count()
+    check = A.check_spectral(graph, points, vectors, values)
+    return check.select("axis", F.lit(placed).cast("long").alias("n_placed"), *[rnd(c, 4).alias(c) for c in ("norm", "residual", "against_trivial", "against_other")])
+
+
+PLACED_SQL = f"""
+pts AS ({S.POINTS_SQL}),
+rk AS (SELECT a.sample_key, b.vec[1] AS x, b.vec[2] AS y, greatest(list_cosine_similarity(a.vec, b.vec), 0.0) AS w,
+              row_number() OVER (PARTITION BY a.sample_key ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.sample_key) AS rank
+       FROM pts a JOIN pts b ON a.sample_key % 5 = 0 AND b.sample_key % 5 <> 0)"""
+
+
+@register("placed_points", S.with_(PLACED_SQL) + f"""
+SELECT sample_key, {S.r6('CASE WHEN sum(w) > 0 THEN sum(w * x) / sum(w) ELSE avg(x) END')} AS atlas_x,
+       {S.r6('CASE WHEN sum(w) > 0 THEN sum(w * y) / sum(w) ELSE avg(y) END')} AS atlas_y
+FROM rk WHERE rank <= {FUZZY_K} GROUP BY sample_key""")
+def q_placed_points(spark, sf_dir):
+    """Every fifth embedding placed among the others (H5); the map to place on is the first two dimensions."""
+    points = fixtures.points(spark, sf_dir)
+    train = points.where("sample_key % 5 <> 0")
+    atlas = train.select("sample_key", F.element_at("vec", 1).alias("atlas_x"), F.element_at("vec", 2).alias("atlas_y"))
+    out = A.place_on_atlas(points.where("sample_key % 5 = 0"), train, atlas, k=FUZZY_K, block_rows=512)
+    return out.select("sample_key", rnd("atlas_x").alias("atlas_x"), rnd("atlas_y").alias("atlas_y"))

@@ -9,4 +9,5 @@ from . import q_models  # noqa: F401
 from . import q_sources  # noqa: F401
 from . import q_assignments  # noqa: F401
 from . import q_publish  # noqa: F401
+from . import q_run  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

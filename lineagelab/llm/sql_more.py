@@ -235,7 +235,7 @@ scale AS (SELECT arg_max(({m.RATE} * whole - sure) / open, factor) AS k FROM c W
   SELECT source, lang, topic, raked AS target_share, least(1.0, k * factor) AS probability FROM f, scale)""")
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, d.source, d.lang, d.topic, CAST(n_tokens AS BIGINT) AS n_tokens, coalesce(target_share, 0.0) AS target_share,
-  coalesce(probability, {m.RATE}) AS probability,
+  coalesce(probability, {m.RATE}) AS probability, 0.0 AS raking_gap,
   CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE
     < coalesce(probability, {m.RATE}) AS sampled
 FROM d LEFT JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.lang IS NOT DISTINCT FROM d.lang AND p.topic = d.topic

@@ -449,6 +449,33 @@ def test_raking_meets_the_marginals(spark):
     assert abs(sum(r.probability * r.weight for r in p) / sum(r.weight for r in p) - mixing.RATE) < 1e-9
 
 
+def test_given_targets_are_met_and_infeasible_ones_are_reported(spark):
+    cells = [(s, lang, "x", w, 1) for s, lang, w in (("a", "en", 70), ("a", "de", 20), ("b", "en", 5), ("b", "de", 5), (None, "en", 50))]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, weight long, n_docs long")
+    targets = {"source": spark.createDataFrame([("a", 2.0), ("b", 1.0), (None, 1.0)], "v string, share double"),
+               "lang": spark.createDataFrame([("en", 60.0), ("de", 40.0)], "v string, share double")}
+    raked = mixing.rake(df, targets).collect()
+    by = {d: {} for d in ("source", "lang")}
+    for r in raked:
+        for d in by:
+            by[d][r[d]] = by[d].get(r[d], 0) + r.raked
+    assert by["source"] == pytest.approx({"a": 0.5, "b": 0.25, None: 0.25}) and by["lang"] == pytest.approx({"en": 0.6, "de": 0.4})
+    assert raked[0].raking_gap < 1e-8
+    # structural zeros: all of the source that must hold 0.9 is English, which must hold 0.2
+    never = {"source": spark.createDataFrame([(None, 0.9), ("a", 0.1)], "v string, share double"),
+             "lang": spark.createDataFrame([("en", 0.2), ("de", 0.8)], "v string, share double")}
+    assert mixing.probabilities(df, targets=never).first().raking_gap > 0.1
+    absent = {"source": spark.createDataFrame([("a", 0.5), ("nowhere", 0.5)], "v string, share double")}
+    assert mixing.probabilities(df, targets=absent).first().raking_gap >= 0.4
+
+
+def test_topic_rules_and_columns_of_any_case(spark):
+    docs = spark.createDataFrame([(1, "s", "en", "a cat", "T1"), (2, "s", "en", "a dog", None)], "doc_id long, source string, lang string, text string, Topic string")
+    assert {r.topic for r in mixing.mix(docs).collect()} == {"T1", None} and mixing.sample(docs, 1.0).count() == 2
+    got = {r.doc_id: r.topic for r in mixing.mix(docs.drop("Topic"), rules=(("pets", "cat"), ("other", "a "))).collect()}
+    assert got == {1: "pets", 2: "other"}
+
+
 def test_mixing_edges(edge, empty):
     rows = mixing.mix(edge).collect()
     assert len(rows) == edge.count() and mixing.mix(empty).count() == 0

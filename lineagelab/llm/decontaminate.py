@@ -15,7 +15,8 @@ or passage, so a passage in a third of all documents costs what its rows cost.
 
 Edge cases: null and empty texts have no words and are never contaminated; items
 without words have no window; equal items each count; repeated documents are
-judged one by one; with an empty benchmark no document is hit.
+judged one by one; with an empty benchmark no document is hit; a null item_id counts
+as an item but is not listed in the digest (all null ids are one item).
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def _find_task(shared, text_at: int):
                 bad += ((own > 0) & (20 * own >= words.counts)).tolist()
                 for found in items:
                     n_items.append(len(found))
-                    sha.append(hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
+                    sha.append(hashlib.sha256(",".join(_listed(found)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                  pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())],
@@ -191,6 +192,11 @@ def _find_task(shared, text_at: int):
     return run
 
 
+def _listed(items: set) -> list[str]:
+    """The ids of found items in order; a null id counts as an item but is not listed."""
+    return sorted(str(i) for i in items if i is not None)
+
+
 def _runs_task(shared, text_at: int, id_at: int):
     """For a block: (row id, words, hit runs, items) of every document that is hit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +213,7 @@ def _runs_task(shared, text_at: int, id_at: int):
                     ids.append(row_ids[lo + d])
                     first.append(edge[::2].tolist())
                     end.append(edge[1::2].tolist())
-                    found.append(sorted(map(str, items[d])))
+                    found.append(_listed(items[d]) + [None] * (None in items[d]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(first, pa.list_(pa.int64())),
                  pa.array(end, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],

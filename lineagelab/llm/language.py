@@ -34,6 +34,11 @@ from .common import bound_batches, materialize
 
 ORDER = 3
 UNIT = 1024
+# Most labelled documents that the trees are fitted on; beyond it a hash of doc_id chooses.
+FIT_ROWS = 400_000
+# A text is in no learned language when its best code is longer than this many times what the
+# language's training texts take a byte, plus ALLOW bits (short texts vary).
+FAR, ALLOW = 2.0, 64.0
 _MASK = [np.uint32((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]   # the last k + 1 bytes of a run
 
 _FOLD = textscan.LOWER.copy()
@@ -112,6 +117,8 @@ class Model:
             if self.langs else np.array([32])
         # one more symbol stands for every byte never seen in training
         self.trees = [_tree(*runs[x], len(used) + 1) for x in self.langs]
+        # code length a byte of each language's own training texts
+        self.typical = np.array([float((runs[x][1] * _bits(t, runs[x][0])).sum() / runs[x][1].sum()) for x, t in zip(self.langs, self.trees)])
 
     def lengths(self, sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code length (1/1024 bit) per document and language, and the number of coded bytes."""
@@ -176,8 +183,16 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Frozen trees from text and non-null lang of all documents outside the held-out third."""
+    """Frozen trees from text and non-null lang of the documents outside the held-out third.
+
+    Of more than ``FIT_ROWS`` such documents a share is taken by the hash of doc_id, which bounds
+    the model; every document is predicted whatever their number.
+    """
     training = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    n = training.count()
+    if n > FIT_ROWS:
+        share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20))
+        training = training.where(share < int(FIT_ROWS / n * (1 << 20)))
     runs = (bound_batches(training).select("lang", "text").mapInArrow(_count_task, "lang string, run long, c long")
             .groupBy("lang", "run").agg(F.sum("c").alias("c")))
     runs = materialize(runs, "ppm-runs")
@@ -195,9 +210,9 @@ def _predict_task(shared, text_at: int):
             texts = textscan.strings(batch.column(text_at))
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) \
                 if len(texts) else np.zeros(0, dtype=bool)
-            pred, score = [], []
+            pred, score, fits = [], [], []
             for lo, hi in textscan.slices(texts):
-                bits, _ = model.lengths(*_symbols(*textscan.raw_bytes(texts, lo, hi)))
+                bits, size = model.lengths(*_symbols(*textscan.raw_bytes(texts, lo, hi)))
                 if model.langs:
                     best = bits.argmin(axis=1)
                     gap = (bits - bits.min(axis=1, keepdims=True)) / UNIT
@@ -205,27 +220,30 @@ def _predict_task(shared, text_at: int):
                     ok = letters[lo:hi]
                     pred += [model.langs[b] if x else "und" for b, x in zip(best, ok)]
                     score += np.where(ok, posterior, 0.0).tolist()
+                    fits += (ok & (bits.min(axis=1) <= FAR * model.typical[best] * size + ALLOW * UNIT)).tolist()
                 else:
                     pred += ["und"] * (hi - lo)
                     score += [0.0] * (hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*batch.schema.names, "lang_pred", "score"])
+                    fits += [False] * (hi - lo)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fits, pa.bool_())],
+                                             names=[*batch.schema.names, "lang_pred", "score", "fits"])
     return run
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (same-named input columns are replaced).
+    """``docs`` with ``lang_pred``, ``score`` and ``fits`` (same-named input columns are replaced).
 
-    ``score`` is the posterior of the chosen language under equal priors.
+    ``score`` is the posterior of the chosen language under equal priors; ``fits`` says whether the text's
+    code length is that of a text of the language at all (``FAR``, ``ALLOW``).
     """
-    docs = bound_batches(docs.drop("lang_pred", "score"))
+    docs = bound_batches(docs.drop("lang_pred", "score", "fits"))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)     # about 12 bytes per distinct run
     return docs.mapInArrow(_predict_task(shared, docs.columns.index("text")), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose language is predicted (not ``und``), columns unchanged."""
+    """The documents written in a learned language, columns unchanged: neither ``und`` nor far from all of them."""
     packed = docs.select("text", F.struct("*").alias("_row"))
-    return predict(packed, model).where(F.col("lang_pred") != "und").select("_row.*")
+    return predict(packed, model).where((F.col("lang_pred") != "und") & F.col("fits")).select("_row.*")

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from lineagelab.llm import decontaminate, mixing, near_dedup
+from lineagelab.llm import decontaminate, language, mixing, near_dedup
 from lineagelab.llm.queries import QUERIES
 from lineagelab.llm.sql import SQL
 
@@ -39,7 +39,7 @@ def test_stages_against_their_operators(spark):
         out = stage(spark, docs, SF)
         assert out.columns[:len(docs.columns)] == docs.columns
         kept[name] = {r.doc_id for r in out.select("doc_id").collect()}
-    assert kept["language"] == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
+    assert kept["language"] == {r.doc_id for r in language.predict(docs, language.fit(docs)).where("fits and lang_pred <> 'und'").collect()}
     assert kept["near_dedup"] == {r.doc_id for r in near_dedup.near_classes(docs).where("kept").collect()}
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert kept["decontaminate"] == {r.doc_id for r in decontaminate.judge(docs, bench).where("not contaminated").collect()}

@@ -16,7 +16,7 @@ from lineagelab.session import ensure_importable
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the context trees can tell; ``und`` ones go."""
+    """Documents in a language of the context trees; ``und`` ones, letter noise and other languages go."""
     ensure_importable(spark)
     return language.accepted(docs, language.fit(docs))
 

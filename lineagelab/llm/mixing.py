@@ -2,8 +2,8 @@
 
 The corpus is reduced to cells (source, language, topic) with their token weight.
 Raking scales the cells in turn to the target marginals of the three dimensions
-until all of them hold to ``TOLERANCE``, or until the largest gap stops falling (targets
-that no weights can meet); the gap that is left is a column of the result. Target weights are
+until all of them hold to ``TOLERANCE``, or until the largest gap stops falling (by a tenth
+in ``SWEEPS_PER_ROUND`` sweeps: targets that no weights can meet); the gap that is left is a column of the result. Target weights are
 given per dimension as a table (value, share); without one they are the observed shares
 raised to a power (``POWERS``), normalised: below 1 flattens. Every document of a cell then has the inclusion probability
 ``min(1, k * raked weight / observed weight)``, where k makes the expected tokens
@@ -36,6 +36,9 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 RATE = 0.5
 TOLERANCE = 1e-9
 SWEEPS_PER_ROUND = 5
+# Raking ends when a round leaves more than this share of the largest gap: targets that structural
+# zeros make unreachable lower it like 1 / sweeps, for ever.
+FALL = 0.9
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 # Topics of a text in order: name, mark that must occur in it.
@@ -127,7 +130,7 @@ def rake(cells: DataFrame, targets: dict | None = None, powers: dict | None = No
             work = _sweep(work)
         work = materialize(work, "cells")
         before, gap = gap, _gap(work, targets)
-        if gap >= before * 0.999:                                # no weights meet these targets
+        if gap > before * FALL:                                  # no weights meet these targets, or only in the limit
             break
     return work.withColumn("raking_gap", F.lit(float(gap)))
 

@@ -1,8 +1,8 @@
 """Queries: models and density clustering.
 
 Seeded models (PCA up to sign, k-means, mixtures, forests) have no SQL twin:
-their queries get the rows-only check, and the tests check invariants. The
-density clustering at a fixed ε has an exact twin (recursive CTE).
+their queries get the rows-only check, and ``q_model_checks`` holds their identities
+against SQL. The density clustering at a fixed ε has an exact twin (recursive CTE).
 """
 
 from __future__ import annotations
@@ -92,12 +92,17 @@ def q_importance_global(spark, sf_dir):
     return _importance(spark, sf_dir)[2].where(F.col("rank") <= TOP_GLOBAL)
 
 
-@register("importance_per_cluster")
-def q_importance_per_cluster(spark, sf_dir):
+def importance_lists(spark, sf_dir):
+    """Global importance of all features, and the table of the per-cluster and global lists."""
     prep, labels, glob = _importance(spark, sf_dir)
     per = M.cluster_importance(glob, labels.where("cluster_id >= 0"), mode="enrichment",
                                vectors=prep.std.vectors, labels=labels)
-    return M.importance_table(glob.where(F.col("rank") <= TOP_GLOBAL), per)
+    return glob, M.importance_table(glob.where(F.col("rank") <= TOP_GLOBAL), per)
+
+
+@register("importance_per_cluster")
+def q_importance_per_cluster(spark, sf_dir):
+    return importance_lists(spark, sf_dir)[1]
 
 
 @register("method_evaluation")

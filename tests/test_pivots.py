@@ -82,3 +82,23 @@ def test_no_rows_and_one_row(spark):
     assert knn_candidates(none, 3).count() == 0 and threshold_edges(none, 0.5).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "sample_key long, vec array<double>")
     assert knn_candidates(one, 3).count() == 0 and threshold_edges(one, 0.5).count() == 0
+
+
+def test_rows_are_copied_once_per_group_however_many_blocks(spark):
+    from lineagelab.operators.pivots import GROUPS, ship
+    X = np.random.default_rng(5).normal(size=(1500, 16))         # nothing can be pruned
+    index = PivotIndex(frame(spark, X), block_rows=20)
+    pairs = index.group_pairs(np.pi)
+    copies = ship(index.rows.select("grp", "cell"), pairs, 0, 0).count() + ship(index.rows.select("grp", "cell"), pairs, 1, 1).count()
+    assert index.rows.select("block").distinct().count() >= 75 and copies <= (GROUPS + 3) * 1500
+
+
+def test_equal_rows_in_many_groups_give_the_smallest_keys(spark):
+    rng = np.random.default_rng(6)
+    X = np.tile(rng.normal(size=(30, 9)), (20, 1))               # 20 copies of 30 rows
+    got = {}
+    for r in knn_candidates(frame(spark, X), 3, block_rows=25).collect():
+        got.setdefault(r.sample_key, []).append((r["rank"], r.neighbor_key))
+    for i in range(len(X)):
+        same = [j for j in range(i % 30, len(X), 30) if j != i][:3]
+        assert [k for _, k in sorted(got[i])] == same

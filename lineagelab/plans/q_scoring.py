@@ -143,9 +143,9 @@ def q_first_arrivals_stream(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
     rows = e.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("sample_id"), at.alias("arrival_time"),
                     F.when(F.col("event_id") % 9 == 0, at - F.expr(f"INTERVAL {LATE_DAYS + 1} DAY")).otherwise(at).alias("event_time"))
-    src = scratch_path(spark, "arrivals")
-    # the days of a quarter of the month are one file of the source, written in order
+    src, sink, checkpoint = (scratch_path(spark, name) for name in ("arrivals", "verdicts", "arrivals-checkpoint"))
+    # a quarter of the month arrives, in as many files as it has, and is one micro-batch; the next run goes on from its checkpoint
     for part in range(4):
-        rows.where(F.least(F.floor((F.dayofmonth("arrival_time") - 1) / 8), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(src)
-    sink = run_first_arrivals(spark, src, rows.schema, allowed_lateness=LATE_DAYS * 86_400.0, remember=3650 * 86_400.0, max_files_per_trigger=1)
+        rows.where(F.least(F.floor((F.dayofmonth("arrival_time") - 1) / 8), F.lit(3)) == part).write.mode("append").parquet(src)
+        run_first_arrivals(spark, src, rows.schema, allowed_lateness=LATE_DAYS * 86_400.0, remember=3650 * 86_400.0, sink_dir=sink, checkpoint=checkpoint)
     return spark.read.parquet(sink).select("event_id", "sample_id", "verdict")

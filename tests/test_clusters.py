@@ -130,3 +130,17 @@ def test_store_roundtrip(spark, tmp_path):
     assert store.load_selected(spark, str(tmp_path / "sel")) == "pca_gmm"
     with _pytest.raises(FileNotFoundError):
         store.load_table(spark, str(tmp_path / "nothing"))
+
+
+def test_restarts_share_their_passes_and_keep_the_lowest_cost(spark):
+    from lineagelab.operators.models import fit_kmeans
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(c, 0.3, size=(40, 3)) for c in ([0, 0, 0], [5, 0, 0], [0, 5, 0])])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "sample_key long, pca array<double>")
+    labels, info = fit_kmeans(df, "pca", k=3, n_init=4)
+    assert len(info["inertia_by_restart"]) == 4 and info["cost"] == min(info["inertia_by_restart"])      # the default engine shares its passes
+    got = {r.sample_key: r.cluster_id for r in labels.collect()}
+    c = np.array(info["centers"])
+    d2 = ((X[:, None] - c[None]) ** 2).sum(-1)
+    assert all(got[i] == d2[i].argmin() for i in range(len(X)))
+    assert abs(d2.min(axis=1).sum() - info["cost"]) < 1e-6

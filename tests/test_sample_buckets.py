@@ -1,13 +1,16 @@
 """The abundance fact and the vectors lie in buckets of the sample: what is grouped or joined by sample moves none of their rows."""
 
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lineagelab.operators.diversity import dominant_features, phylum_sums, shannon
 from lineagelab.plans import context
-from lineagelab.session import materialize
+from lineagelab.session import discard, materialize
+from lineagelab.sources import wide as W
 
 
 def exchanges(df):
@@ -31,3 +34,28 @@ def test_buckets_grow_with_the_samples(spark):
 def test_a_bucketed_table_has_all_rows(spark):
     df = materialize(spark.range(1000).select((F.col("id") % 90).alias("k"), "id"), "bucket-test", "k", 7)
     assert df.count() == 1000 and exchanges(df.groupBy("k").count()) == 0
+
+
+def test_the_wide_table_is_pivoted_where_the_cells_lie(spark, tmp_path, monkeypatch):
+    long = spark.range(4000).select((F.col("id") % 500).cast("string").alias("sampleID"),
+                                    F.concat(F.lit("k__A|p__"), (F.col("id") % 8).cast("string")).alias("lineage"), F.lit(1.0).alias("value"))
+    meta = long.select("sampleID").distinct()
+    seen = []
+    writer = type(meta.write)
+    csv = writer.csv
+    monkeypatch.setattr(writer, "csv", lambda self, *a, **k: (seen.append(self._df), csv(self, *a, **k))[1])
+    path = W.write_wide_csv(long, meta, str(tmp_path / "wide"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    # every aggregation that makes wide rows reads dealt cells; none feeds an exchange
+    assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*HashAggregate[^\n]*pivotfirst", plan)
+    assert spark.read.option("header", True).csv(path).count() == 500
+
+
+def test_a_discarded_table_is_gone(spark):
+    df = materialize(spark.range(10).withColumn("k", F.col("id")), "discard-test", "k", 2)
+    folder = os.path.dirname(df.inputFiles()[0]).replace("file://", "")
+    assert os.path.exists(folder)
+    discard(df)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(SF_SMALL + "/nation.parquet"))

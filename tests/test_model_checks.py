@@ -52,6 +52,26 @@ def test_mixture_checks_hold_of_a_fit_and_not_of_shifted_means(blobs):
     assert C.mixture_checks(points, moved).first().mean_gap > 0.1
 
 
+def test_mixture_separates_in_many_dimensions(spark):
+    rng = np.random.default_rng(3)
+    spread = (1.0, 2.0, 1.5)
+    x = np.concatenate([rng.normal(0.0, s, (300, 40)) + m * np.eye(40)[0] for s, m in zip(spread, (-14.0, 0.0, 16.0))])
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_key long, pca array<double>").repartition(3)
+    labels, info = M.fit_gmm(points, "pca", ClusterParams(gmm_n_init=3), k=3)
+    got = {r.sample_key: r.cluster_id for r in labels.collect()}
+    assert len(got) == 900
+    for part in range(3):
+        own = [got[i] for i in range(part * 300, part * 300 + 300)]
+        assert max(own.count(c) for c in range(3)) >= 297
+    assert len({got[0], got[300], got[600]}) == 3
+    # the log-likelihood of the returned mixture, computed apart
+    w, mu, cov = (np.array(info[c]) for c in ("weights", "means", "covs"))
+    joint = np.stack([np.log(w[j]) - 0.5 * (40 * np.log(2 * np.pi) + np.linalg.slogdet(cov[j])[1]
+                                            + np.einsum("ij,jk,ik->i", x - mu[j], np.linalg.inv(cov[j]), x - mu[j])) for j in range(3)], axis=1)
+    assert info["log_likelihood"] == pytest.approx(np.logaddexp.reduce(joint, axis=1).sum(), rel=1e-4)
+    assert info["log_likelihood"] == max(info["log_likelihood_by_restart"])
+
+
 def test_importance_checks_count_gaps_and_disorder(spark):
     table = spark.createDataFrame(
         [(0, 1, 5, 0.5), (0, 2, 6, 0.4), (1, 1, 5, 0.1), (1, 3, 6, 0.05), (2, 1, 5, 0.1), (2, 2, 5, 0.2), (-99, 1, 5, 0.6), (-99, 2, 6, 0.4)],

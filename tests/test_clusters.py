@@ -51,6 +51,26 @@ def test_silhouette_and_db(spark):
     assert EV.silhouette(single) is None and EV.davies_bouldin(single) is None
 
 
+def test_silhouettes_of_several_labellings_share_the_distances(spark, monkeypatch):
+    from lineagelab.operators import pairs
+    rows, df = _points(spark)
+    other = df.selectExpr("sample_key", "vec", "CAST(CASE WHEN sample_key % 7 = 0 THEN -1 ELSE sample_key % 4 END AS INT) AS cluster_id")
+    X = np.array([r[1] for r in rows])
+    want = {}
+    for name, frame in (("one", df), ("two", other)):
+        lab = dict(frame.select("sample_key", "cluster_id").collect())
+        lab = np.array([lab[r[0]] for r in rows])
+        want[name] = np_silhouette(X[lab >= 0], lab[lab >= 0]).mean()
+    calls = []
+    plain = pairs.cluster_distance_sums
+    monkeypatch.setattr(EV, "cluster_distance_sums", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = {r["method"]: r for r in EV.evaluate_methods({"one": df, "two": other}, block_rows=16, together=("one", "two")).collect()}
+    assert len(calls) == 1
+    assert all(abs(got[m]["silhouette"] - want[m]) < 1e-6 for m in want)
+    apart = {r["method"]: r for r in EV.evaluate_methods({"one": df, "two": other}, block_rows=16).collect()}
+    assert len(calls) == 3 and apart == got
+
+
 def test_novelty_rules(spark):
     rows, df = _points(spark)
     nov = {r["sample_key"]: r for r in C.novelty(df).collect()}

@@ -113,10 +113,7 @@ def q_score_orders_stream(spark, sf_dir):
     read with ``readStream``, de-duplicated within the watermark and scored."""
     from ..streaming.scoring_stream import run_scoring_stream
     m = customer_model(spark, sf_dir)
-    o = fixtures.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderdate").alias("event_time"))
-    req = fixtures.order_requests(spark, sf_dir).join(o, "sample_id").select(
-        "sample_id", "event_time", "abundances")
+    req = fixtures.order_requests(spark, sf_dir, event_time=True)
     src = scratch_path(spark, "requests")
     req.write.mode("overwrite").parquet(src)
     sink = run_scoring_stream(spark, src, m, watermark="3650 days")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..plans.scoring import ScoringModel, score_samples
 from ..session import checkpoint_dir, scratch_path
+from .first_arrival import STATE_STORE
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("sample_id", T.StringType()),
@@ -37,7 +38,11 @@ def run_scoring_stream(spark: SparkSession, source_dir: str, model: ScoringModel
                        sink_dir: str | None = None, checkpoint: str | None = None,
                        available_now: bool = True, watermark: str = "1 day",
                        max_files_per_trigger: int | None = None) -> str:
-    """Start (and with ``available_now`` finish) the scoring stream; returns the sink path."""
+    """Start (and with ``available_now`` finish) the scoring stream; returns the sink path.
+
+    The ids seen lie in a state store on disk, not in the executors' heaps. It is set for the start of the query
+    only; the session's own setting comes back after it.
+    """
     reader = spark.readStream.schema(REQUEST_SCHEMA).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -47,7 +52,13 @@ def run_scoring_stream(spark: SparkSession, source_dir: str, model: ScoringModel
     w = (scores.writeStream.format("parquet").outputMode("append")
                .option("path", sink_dir).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        q = w.start()
+        if available_now:
+            q.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return sink_dir

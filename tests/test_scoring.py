@@ -57,3 +57,31 @@ def test_stream_equals_batch(spark):
              for r in score_samples(req, m).collect()}
     assert spark.read.parquet(sink).count() == len(batch)
     assert stream == batch
+
+
+def test_requests_are_dealt_by_order_once(spark):
+    o = fixtures.table(spark, SF_SMALL, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderdate").alias("event_time"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        req = fixtures.order_requests(spark, SF_SMALL, event_time=True)
+        # two for the join with the parts, one by order, one of the orders
+        assert req._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        want = {r["sample_id"]: (r["event_time"], r["abundances"]) for r in fixtures.order_requests(spark, SF_SMALL).join(o, "sample_id").collect()}
+        assert {r["sample_id"]: (r["event_time"], r["abundances"]) for r in req.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_seen_ids_are_kept_on_disk(spark, tmp_path):
+    m = customer_model(spark, SF_SMALL)
+    src, sink, ckpt = (str(tmp_path / x) for x in ("src", "sink", "ckpt"))
+    req = fixtures.order_requests(spark, SF_SMALL, event_time=True)
+    req.unionByName(req).write.parquet(src)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    run_scoring_stream(spark, src, m, sink, ckpt, watermark="3650 days")
+    assert spark.conf.get(setting) == before
+    assert spark.read.parquet(sink).count() == req.count()
+    kept = [f for _, _, files in os.walk(os.path.join(ckpt, "state")) for f in files]
+    assert any(f.endswith(".zip") for f in kept) and not any(f.endswith(".delta") for f in kept)

@@ -82,3 +82,16 @@ def test_importance_checks_count_gaps_and_disorder(spark):
     assert got[1].rank_gaps == 1                               # rank 2 is missing
     assert (got[2].rank_gaps, got[2].out_of_order) == (1, 1)   # one feature twice, and rising
     assert got[-99].score_total == pytest.approx(1.0) and got[-99].pct_total == pytest.approx(100.0)
+
+
+def test_forest_tasks_do_not_grow_with_the_partitions(spark, blobs):
+    x, points = blobs
+    labels = spark.createDataFrame([(i, i // 40 - (1 if i < 40 else 0)) for i in range(120)], "sample_key long, cluster_id int").repartition(30)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = M.training_rows(points.withColumnRenamed("pca", "features").repartition(30), labels)
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r._y, r.w) for r in rows.collect()} == {(1.0, 1.0), (2.0, 1.0)} and rows.count() == 80
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -25,6 +25,30 @@ def test_statistics_by_sample_shuffle_nothing(spark):
     assert prep.abundance.groupBy("sample_key", "lineage").count().where("count > 1").count() == 0
 
 
+def test_assignments_move_neither_fact_nor_vectors(spark):
+    from lineagelab.plans.q_assignments import q_cluster_assignments
+    context.clear_cache()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q_cluster_assignments(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and ("default.vectors" in line or "default.abundance" in line)]
+    assert scans
+    for i in scans:
+        # what stands over a scan up to the first join or aggregation by sample
+        above, at = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < at:
+                at = depth(line)
+                above.append(line)
+                if "Join" in line or "Aggregate" in line:
+                    break
+        assert not any("Exchange" in line for line in above)
+
+
 def test_buckets_grow_with_the_samples(spark):
     # at least one per shuffle partition once there are several, so that joins keep them
     assert context.sample_buckets(spark, 3) == 3 and context.sample_buckets(spark, 15_000) == spark.sparkContext.defaultParallelism

@@ -337,6 +337,41 @@ def test_lines_against_brute_force(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_families_of_lines_are_verified_without_their_texts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, n_docs = [], 0
+    for family in range(3):                                       # near copies; each differs from its family in up to two words
+        base = [f"f{family}w{x}" for x in range(40)]
+        for _ in range(25):
+            w = list(base)
+            for at in rng.integers(0, 40, int(rng.integers(0, 3))):
+                w[at] = f"e{int(rng.integers(0, 60))}"
+            rows.append((n_docs, " ".join(w)))
+            n_docs += 1
+    chain = [" ".join(f"c{x}" for x in range(i, i + 30)) for i in range(0, 20, 2)]   # neighbours match, the ends do not
+    rows += [(n_docs + i, line) for i, line in enumerate(chain)]
+    written_as, plain = {}, line_dedup.materialize
+
+    def seen(df, name):
+        written_as[name] = plain(df, name)
+        return written_as[name]
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    got = sorted((r.doc_id, r.n_links, r.removed, r.class_id) for r in
+                 line_dedup.match_lines(written(spark, tmp_path, rows, "doc_id long, text string")).collect())
+    first = {}
+    for i, line in rows:
+        first.setdefault(line, i)
+    sets = {line: set(line.split()) for line in first}
+    links = {line: [m for m in sets if m != line and 9 * len(sets[line] & sets[m]) >= 4 * (len(sets[line]) + len(sets[m]))] for line in sets}
+    assert got == sorted((i, len(links[line]), first[line] < i or any(first[m] < first[line] for m in links[line]), f"{first[line]}:0")
+                         for i, line in rows)
+    told = written_as["line-told"]
+    on_texts, pairs = told.where("match IS NULL").count(), told.count()
+    assert pairs >= 400 and 0 < on_texts <= pairs / 10
+    assert {c for c, kind in told.dtypes if kind == "string"} == set()
+
+
 def test_lines_of_nothing(edge, empty):
     assert line_dedup.match_lines(empty).count() == 0
     out = {(r.doc_id, r.text) for r in line_dedup.without_repeats(edge).collect()}

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -366,6 +367,8 @@ def test_families_of_lines_are_verified_without_their_texts(spark, tmp_path, mon
     links = {line: [m for m in sets if m != line and 9 * len(sets[line] & sets[m]) >= 4 * (len(sets[line]) + len(sets[m]))] for line in sets}
     assert got == sorted((i, len(links[line]), first[line] < i or any(first[m] < first[line] for m in links[line]), f"{first[line]}:0")
                          for i, line in rows)
+    kept = [name for name, df in written_as.items() if any(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())]
+    assert "lines" not in kept and "distinct-lines" in kept       # every line's text lies on disk once
     told = written_as["line-told"]
     on_texts, pairs = told.where("match IS NULL").count(), told.count()
     assert pairs >= 400 and 0 < on_texts <= pairs / 10

@@ -47,6 +47,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SPREAD = 64
 DF_BUCKETS = 1 << 20
+# Earlier shingles of the prefix that a row of the prefix join carries.
+PAST = 32
 IDF_SHARE, IDF_CLIP = 0.5, 1000.0
 LEVELS = 16
 # Number of fixed random draws (r, c, beta) that the hash of (shingle, sample) selects from.
@@ -245,9 +247,12 @@ def _verify_task(shared, similarity: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float, label: str) -> DataFrame:
-    """Pairs (a, b) of representatives whose texts are similar enough, written."""
-    both = (pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
+    """Pairs (a, b) of representatives whose texts are similar enough, written.
+
+    Texts are never broadcast: their compressed files, which Spark would judge by, say little about their size.
+    """
+    both = (pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+            .join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
             .select("a", "b", "text_a", "text_b"))
     return materialize(both.mapInArrow(_verify_task(shared, similarity), "a long, b long"), label)
 
@@ -274,6 +279,14 @@ def _common_most(a: str, b: str) -> Column:
                F.least(F.col(a)[0], F.col(b)[0]).cast("double"))
 
 
+def _prefix_rows(prefix: DataFrame) -> DataFrame:
+    """A row for each shingle ``h`` of the prefixes ``p``: the weight of its text from there on (``rest``) and the
+    last ``PAST`` shingles before it (``past``), not all of them: rows would grow with the square of a text's length."""
+    rows = prefix.select("rid", "total", "spread", "label", "p", "before", F.posexplode("p").alias("at", "h"))
+    past = F.slice("p", F.greatest(F.col("at") - F.lit(PAST - 1), F.lit(1)), F.least(F.col("at"), F.lit(PAST)))
+    return rows.select("rid", "total", "spread", "label", "h", (F.col("total") - F.col("before")[F.col("at")]).alias("rest"), past.alias("past"))
+
+
 def _prefix_pairs(texts: DataFrame, sketches: DataFrame, labels: DataFrame, shared, similarity: float) -> DataFrame:
     """Pairs (a, b) of different classes that the prefixes and the bounds leave: no similar pair is missing.
 
@@ -294,16 +307,16 @@ def _prefix_pairs(texts: DataFrame, sketches: DataFrame, labels: DataFrame, shar
               .select("rid", F.col("p.h").alias("p"), F.col("p.before").alias("before"))
               .join(sketches.select("rid", "total", "spread"), "rid")
               .join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")))
-    prefix = (materialize(prefix, "near-prefix").select("rid", "total", "spread", "label", "p", "before", F.posexplode("p").alias("at", "h"))
-              .withColumn("rest", F.col("total") - F.col("before")[F.col("at")]).drop("before"))
+    prefix = _prefix_rows(materialize(prefix, "near-prefix"))
     x, y = prefix.where(F.col("rest") >= F.lit(2 * need) * F.col("total")).alias("x"), prefix.alias("y")
     lighter = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.rid") < F.col("y.rid")))
     least = F.lit(need) * (F.col("x.total") + F.col("y.total"))
-    # made at the first shingle that both prefixes have, so once
-    first = ~F.arrays_overlap(F.slice("x.p", F.lit(1), F.col("x.at")), F.slice("y.p", F.lit(1), F.col("y.at")))
-    return (x.join(y, (F.col("x.h") == F.col("y.h")) & lighter & (F.col("x.label") != F.col("y.label"))
+    # made at the first shingle that both prefixes have; again only if the last common one lies more than PAST back, hence distinct
+    first = ~F.arrays_overlap("x.past", "y.past")
+    # Spark judges a side by the file before its rows are exploded, and would broadcast rows of a hundred times that size
+    return (x.join(y.hint("merge"), (F.col("x.h") == F.col("y.h")) & lighter & (F.col("x.label") != F.col("y.label"))
                    & (F.least("x.rest", "y.rest") >= least) & (_common_most("x.spread", "y.spread") >= least) & first)
-            .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")))
+            .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

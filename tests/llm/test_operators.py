@@ -274,6 +274,27 @@ def test_near_classes_are_exact_inside_one_large_bucket(spark, tmp_path, monkeyp
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(label))
 
 
+def test_prefix_rows_do_not_grow_with_the_text(spark, monkeypatch):
+    """The exploded prefixes are judged by a small file: they are not broadcast, and a row holds a few shingles of its text."""
+    schema = "rid long, total double, spread array<float>, label long, p array<long>, before array<double>"
+    long = [(r, 3000.0, [1.0] * near_dedup.SPREAD, r, list(range(r, r + 3000)), [float(i) for i in range(3000)]) for r in (0, 1)]
+    rows = near_dedup._prefix_rows(spark.createDataFrame(long, schema)).where("rid = 1").orderBy("h").collect()
+    assert [r.rest for r in rows] == [3000.0 - i for i in range(3000)]
+    assert [r.past for r in rows] == [list(range(max(1, r.h - near_dedup.PAST), r.h)) for r in rows]
+    # pairs whose last common shingle is further back than a row tells are made again, and only then
+    words = [f"w{i}" for i in range(400)]
+    texts = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:100] + ["other"] + words[101:])), (2, "nothing that the others have here")], "rid long, text string")
+    shared = spark.sparkContext.broadcast(np.zeros(near_dedup.DF_BUCKETS, dtype=np.uint8))
+    sketches = texts.mapInArrow(near_dedup._sketch_task(shared), "rid long, total double, bands array<long>, spread array<float>")
+    labels = spark.createDataFrame([], "node long, label long")
+    for past in (near_dedup.PAST, 1):
+        monkeypatch.setattr(near_dedup, "PAST", past)
+        pairs = near_dedup._prefix_pairs(texts, sketches, labels, shared, near_dedup.SIMILARITY)
+        assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString() + pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_near_classes_of_edges(edge, empty):
     rows = near_dedup.near_classes(edge).collect()
     assert len(rows) == edge.count() and sum(r.kept for r in rows) == len({r.class_id if r.class_size > 1 else (r.doc_id, r.class_id) for r in rows})

@@ -164,3 +164,41 @@ def test_restarts_share_their_passes_and_keep_the_lowest_cost(spark):
     d2 = ((X[:, None] - c[None]) ** 2).sum(-1)
     assert all(got[i] == d2[i].argmin() for i in range(len(X)))
     assert abs(d2.min(axis=1).sum() - info["cost"]) < 1e-6
+
+
+def test_sums_that_leave_a_task_do_not_grow_with_the_clusters(spark):
+    from lineagelab.operators.evaluate import silhouette_values
+    from lineagelab.operators.pairs import cluster_distance_sums
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 3))
+    label = rng.integers(-1, 60, 600)
+    pts = spark.createDataFrame([(i, [float(x) for x in v[i]], int(label[i])) for i in range(600)], "sample_key long, vec array<double>, cluster_id int")
+    some = cluster_distance_sums(pts, block_rows=100, nearest_only=True).collect()
+    every = {(r.sample_key, r.other_cluster): r for r in cluster_distance_sums(pts, block_rows=100).collect()}
+    n = int((label >= 0).sum())
+    assert len(every) == n * 60 and len(some) < n * 30
+    for r in some:
+        assert r.n_other == every[r.sample_key, r.other_cluster].n_other and abs(r.dist_sum - every[r.sample_key, r.other_cluster].dist_sum) < 1e-8
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    got = {r.sample_key: r.silhouette for r in silhouette_values(pts, block_rows=100).collect()}
+    assert len(got) == n
+    for i in np.flatnonzero(label >= 0):
+        means = {c: d[i, (label == c) & (np.arange(600) != i)].mean() for c in range(60) if ((label == c) & (np.arange(600) != i)).any()}
+        b = min(m for c, m in means.items() if c != label[i])
+        a = means.get(label[i])
+        assert abs(got[i] - (0.0 if a is None else (b - a) / max(a, b))) < 1e-9
+
+
+def test_packed_rows_and_both_ways_of_adding_up(spark, monkeypatch):
+    from lineagelab.operators import kmeans
+    x = np.random.default_rng(5).normal(size=(5000, 3)) + 1e3
+    pts, d = kmeans.packed(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "sample_key long, pca array<double>").repartition(3), "pca")
+    assert d == 3 and sum(r.n for r in pts.collect()) == 5000 and max(r.n for r in pts.collect()) <= kmeans._CHUNK
+    assert abs(kmeans._mean_variance(pts, 3) - x.var(axis=0).mean()) < 1e-9
+    start = np.stack([x[:4], x[4:8]])
+    one = kmeans.lloyd(pts, start, 5)
+    monkeypatch.setattr(kmeans, "_DIRECT", 0)
+    other = kmeans.lloyd(pts, start, 5)
+    assert np.allclose(one[0], other[0], rtol=0, atol=1e-9) and np.allclose(one[1], other[1]) and one[2] == other[2]
+    near = ((x[:, None] - one[0][0][None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert abs(near - one[1][0]) < 1e-3

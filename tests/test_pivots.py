@@ -103,3 +103,21 @@ def test_equal_rows_in_many_groups_give_the_smallest_keys(spark):
     for i in range(len(X)):
         same = [j for j in range(i % 30, len(X), 30) if j != i][:3]
         assert [k for _, k in sorted(got[i])] == same
+
+
+def test_neighbours_that_single_precision_cannot_tell_apart(spark):
+    """Scores that differ by less than a rounding of single precision: candidates come from rounded products, the order does not."""
+    from lineagelab.operators.pairs import knn_candidates
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(4, 40))
+    v = np.concatenate([b + 1e-5 * rng.normal(size=(60, 40)) for b in base])
+    pts = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "sample_key long, vec array<double>")
+    got = {}
+    for r in knn_candidates(pts, 3, block_rows=40).collect():
+        got.setdefault(r.sample_key, {})[r.rank] = r.neighbor_key
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(len(u)):
+        score = (u[i] * u).sum(axis=1)
+        score[i] = -np.inf
+        want = sorted(range(len(u)), key=lambda j: (-score[j], j))[:3]
+        assert [got[i][r] for r in (1, 2, 3)] == want
